@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import minhash
+from emberlog.llm import line_dedup, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,26 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=85)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that repeat in five or more, but for the last document's."""
+    docs = _table(spark, sf_dir, "documents")
+    return line_dedup.LineIndex.build(docs).report(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of all documents under the full policy."""
+    return quality.apply_policy(quality.build_ledger(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": line_dedup.oracle(),
+    "op9_quality_rules": quality.oracle(),
+}
