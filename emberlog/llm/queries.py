@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import line_dedup, minhash, quality
+from emberlog.llm import line_dedup, minhash, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,21 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=85)
 
 
+#: The mixture's tree as SQL that Spark and DuckDB share: three domains of sources.
+MIX_LEVELS = {
+    "domain": "CASE WHEN md5(source) < '5' THEN 'd0' WHEN md5(source) < 'a' THEN 'd1' ELSE 'd2' END",
+    "lang": "lang",
+    "source": "source",
+}
+MIX = {"fraction": (6, 10), "max_epochs": 3, "seed": 17}
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """60 percent of all tokens, dealt evenly over domains, languages and sources."""
+    levels = {name: F.expr(text) for name, text in MIX_LEVELS.items()}
+    return mixing.select(_table(spark, sf_dir, "documents"), levels, **MIX)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that repeat in five or more, but for the last document's."""
     docs = _table(spark, sf_dir, "documents")
@@ -31,11 +46,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op4_source_mixing": op4_source_mixing,
     "op7_line_dedup": op7_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": mixing.oracle(MIX_LEVELS, **MIX),
     "op7_line_dedup": line_dedup.oracle(),
     "op9_quality_rules": quality.oracle(),
 }
