@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import line_dedup, minhash, mixing, quality
+from emberlog.llm import line_dedup, minhash, mixing, quality, spm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(_table(spark, sf_dir, "documents"), levels, **MIX)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents in the 32k vocabulary, and whether they decode to the text."""
+    return spm.encode(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that repeat in five or more, but for the last document's."""
     docs = _table(spark, sf_dir, "documents")
@@ -47,6 +52,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_line_dedup": op7_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
