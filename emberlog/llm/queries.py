@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import line_dedup, minhash, mixing, quality, spm
+from emberlog.llm import line_dedup, minhash, mixing, quality, spm, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(_table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all vectors linked by a cosine of 0.95."""
+    return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that repeat in five or more, but for the last document's."""
     docs = _table(spark, sf_dir, "documents")
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_source_mixing": op4_source_mixing,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_embedding_neardup": op6_embedding_neardup,
     "op7_line_dedup": op7_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
