@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import line_dedup, minhash, mixing, quality, spm, vector_dedup
+from emberlog.llm import line_dedup, minhash, mixing, quality, spm, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.build_ledger(_table(spark, sf_dir, "documents")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labelled ones outside the held-out fold."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), spans=False)
+
+
 QUERIES = {
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_source_mixing": op4_source_mixing,
@@ -61,6 +66,7 @@ QUERIES = {
     "op6_embedding_neardup": op6_embedding_neardup,
     "op7_line_dedup": op7_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
