@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import line_dedup, minhash, mixing, quality, spm, toxicity, vector_dedup
+from emberlog.llm import line_dedup, minhash, mixing, pii, quality, spm, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data; the values themselves don't leave."""
+    done = pii.pseudonymise_distinct(_table(spark, sf_dir, "documents"))
+    bare = F.transform("entities", lambda e: F.struct(e["start"], e["end"], e["type"], e["surrogate"]))
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), bare.alias("entities"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of all documents under the full policy."""
     return quality.apply_policy(quality.build_ledger(_table(spark, sf_dir, "documents")))
@@ -65,6 +72,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_embedding_neardup": op6_embedding_neardup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
