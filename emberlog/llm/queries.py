@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import line_dedup, minhash, mixing, pii, quality, spm, toxicity, vector_dedup
+from emberlog.llm import html_extract, line_dedup, minhash, mixing, pii, quality, spm, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, Jaccard of 85 percent."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=85)
@@ -67,6 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_source_mixing": op4_source_mixing,
     "op5_sentencepiece": op5_sentencepiece,
