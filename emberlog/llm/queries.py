@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import html_extract, line_dedup, minhash, mixing, pii, quality, spm, toxicity, vector_dedup
+from emberlog.llm import html_extract, line_dedup, minhash, mixing, pii, quality, spm, token_shards, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as shards in training order, and read back: one row for each slot."""
+    return token_shards.write_shards(_table(spark, sf_dir, "documents")).read()
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_extract.extract(_table(spark, sf_dir, "pages"))
@@ -72,6 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_shards": op1_token_shards,
     "op2_html_extraction": op2_html_extraction,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_source_mixing": op4_source_mixing,
