@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import session
 from emberlog.llm import line_dedup, minhash, mixing, quality, spm
-from emberlog.llm.common import Scratch
+from emberlog.llm.common import Scratch, sized
 
 #: The mixture's tree and size; see emberlog.llm.mixing.
 MIX_LEVELS = {
@@ -50,7 +50,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     session.ship(spark)
     classes = minhash.near_duplicates(docs, shingle=5, threshold=80)
     gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = Scratch(spark, "gone").put(gone, "gone")
+    return docs.join(sized(gone, gone.count()), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
