@@ -48,9 +48,12 @@ def warm_from(lines: DataFrame, config: ScoreConfig) -> tuple[int, int, int] | N
 
 def with_score(lines: DataFrame, config: ScoreConfig = ScoreConfig()) -> DataFrame:
     """Add novel, burst, severity, score and the numbers their reasons tell."""
+    return add_scores(with_state(lines, config), warm_from(lines, config), config)
+
+
+def add_scores(df: DataFrame, warm: tuple[int, int, int] | None, config: ScoreConfig) -> DataFrame:
+    """Scores of lines that have with_state()'s columns; warm as of warm_from()."""
     weights = config.weights
-    warm = warm_from(lines, config)
-    df = with_state(lines, config)
     if warm is None:
         warmed = F.lit(False)
     else:
