@@ -139,7 +139,12 @@ class Live:
     # ---- one micro-batch
 
     def process(self, batch: DataFrame, number: int) -> None:
-        """Score and decide a batch of lines (LINE columns); results go to <folder>/decided/<number>."""
+        """Score and decide a batch of lines (LINE columns); results go to <folder>/decided/<number>.
+
+        Lines without seq count in the order of the batch's rows.
+        """
+        if "seq" not in batch.columns:
+            batch = batch.withColumn("seq", F.monotonically_increasing_id())
         lines = normalize(batch).persist()
         try:
             record, prior = self._record(number - 1), self._templates(number - 1)
