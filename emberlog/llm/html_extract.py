@@ -80,7 +80,10 @@ for _hint, _list in HINTS.items():
     for _word in _list:
         _HINT_OF.setdefault(_word, []).append(_hint)
 
-_KIND = {t: "area" for t in "article main section nav header footer aside form".split()} | {"div": "div", "body": "root", "html": "root"}
+_KIND = (
+    {t: "main" for t in ("article", "main")} | {t: "area" for t in ("section", "div")}
+    | {t: "aside" for t in ("nav", "header", "footer", "aside", "form")} | {"body": "root", "html": "root"}
+)
 
 
 class Page:
@@ -201,9 +204,11 @@ class Page:
         for p in self.parent[1:]:
             children[p] += 1
         out = []
-        for tag, hints, n, linked, kids in zip(self.tag, self.hints, self.length, self.linked, children):
-            f = ["bias", "t:" + tag]
+        for tag, hints, n, linked, kids, up in zip(self.tag, self.hints, self.length, self.linked, children, self.parent):
+            f = ["bias", "t:" + tag, f"u:{self.tag[up] if up >= 0 else ''}>{tag}"]
             f += ["h:" + h for h in hints]
+            if not hints:
+                f.append("h:-" + tag)
             if n:
                 f.append(f"n:{min(4, int(math.log(n + 1, 4)))}")
                 f.append(f"l:{min(3, 4 * linked // n)}")

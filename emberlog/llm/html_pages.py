@@ -61,7 +61,9 @@ def _form(r: random.Random) -> str:
 
 
 def _comments(r: random.Random) -> str:
-    one = lambda: _wrap(r, ["div", "li", "article", "p"], ["comment", "comment-body", "reply", ""], f'<b>{_words(r, 1, 2)}</b> ' + _plain(r, 5, 60), 0)
+    tag = r.choice(["div", "div", "li", "li", "p", "p", "article"])
+    names = ["comment", "comment-body", "reply"] + [""] * (tag != "article")
+    one = lambda: _wrap(r, [tag], names, f'<b>{_words(r, 1, 2)}</b> ' + _plain(r, 5, 60), 0)
     inner = f'<h3 data-y="0">{_words(r, 1, 3)}</h3>' * r.randint(0, 1) + "".join(one() for _ in range(r.randint(1, 6)))
     return _wrap(r, ["section", "div", "ol"], ["comments", "comment-list", "disqus", "responses", "user-comments", "discussion"], inner, 0)
 
