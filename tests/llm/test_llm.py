@@ -1,0 +1,553 @@
+"""The training-data operators against brute force, round trips and held-out labels; and their edge cases."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from emberlog.llm import (
+    components, html_extract, html_pages, line_dedup, minhash, mixing, pii, quality, queries, spm, token_shards, toxicity, vector_dedup,
+)
+from emberlog.llm.common import Scratch
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WORDS = "the of alpha beta gamma delta river stone cloud amber forest lantern copper velvet harbor meadow".split()
+
+#: Nulls, empty, blank, ties, repeated rows, one very long text.
+EDGES = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \t\n ", "en", "s", 4), (4, "one", "en", "s", 3), (5, "one", None, "s", 3),
+    (6, "A b C d E f G", "en", "s", 13), (6, "A b C d E f G", "en", "s", 13), (7, "a  B\tc d\ne f g ", "de", None, 16),
+    (8, "word " * 30_000, "en", "s", 150_000), (9, "x" * 100_000, "en", "s", 100_000), (10, "\n\n\n", "en", "s", 3), (11, "é ü 日本 🙂", "fr", "t", 9),
+]
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([r if len(r) == 5 else (*r, "en", "s", 0) for r in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """The edge rows with extra columns named like the operators' own."""
+    df = docs_of(spark, EDGES)
+    for name in ("n", "c", "key", "rep", "epoch", "size", "score", "slot"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df.persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randint(0, 60)) for _ in range(n))
+
+
+# ---- 1
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 17, 1000, 70_001])
+def test_permutation(size):
+    x = token_shards.slots(np.arange(size), size, 7)
+    assert sorted(x) == list(range(size))
+    assert (token_shards.slots(x, size, 7, inverse=True) == np.arange(size)).all()
+    if size > 100:
+        assert (x != token_shards.slots(np.arange(size), size, 8)).mean() > 0.9
+
+
+def test_shards_round_trip(spark, edges, empty):
+    rng = random.Random(1)
+    rows = [(k, texts(rng, rng.randint(1, 300)), "en", "s", 0) for k in range(100, 180)]
+    df = edges.select(*DOCS.split()[0:1], "text").union(docs_of(spark, rows).select("doc_id", "text"))
+    made = token_shards.write_shards(df, shard_slots=64)
+    got = made.read().orderBy("slot").collect()
+    assert [r["slot"] for r in got] == list(range(len(got))) and made.manifest.count() > 3
+    per = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["part"], r["slot"])):
+        per[r["doc_id"], r["part"]].append(r["ids"])
+    t = token_shards.tokenizer()
+    want = Counter((r["doc_id"], tuple(t.encoding.encode_ordinary(r["text"] or "")) + (token_shards.END,)) for r in df.collect())
+    for (doc, ids), n in want.items():
+        parts = [ids[k : k + made.seq_len] for k in range(0, len(ids), made.seq_len)]
+        for k, part in enumerate(parts):
+            assert [tuple(x) for x in per[doc, k]] == [part] * n
+    assert sum(map(len, per.values())) == len(got)
+    order = [r["doc_id"] for r in got]
+    assert order != sorted(order)
+    assert made.read(from_slot=100).agg(F.min("slot"), F.count("*")).first() == (100, len(got) - 100)
+    again = token_shards.write_shards(df.repartition(3), shard_slots=64)
+    assert [r["crc32"] for r in again.manifest.orderBy("shard").collect()] == [r["crc32"] for r in made.manifest.orderBy("shard").collect()]
+    assert token_shards.write_shards(empty).read().count() == 0
+    wide = token_shards.write_shards(spark.createDataFrame([(-(2**62), "a"), (2**62, "b"), (None, "c")], "doc_id long, text string"))
+    assert {r["doc_id"] for r in wide.read().collect()} == {-(2**62), 2**62, None}
+
+
+# ---- 2
+
+
+def test_extraction_on_unseen_pages():
+    model = html_extract.default_model()
+    wrong = total = 0
+    for source in html_pages.labelled_pages(120, seed=99):
+        page = html_extract.Page(source)
+        labels = list(page.label)
+        labels[0] = 0
+        for k in range(1, len(labels)):
+            if labels[k] < 0:
+                labels[k] = labels[page.parent[k]]
+        odds = model.odds(page)
+        for node, _ in page.blocks:
+            total += 1
+            wrong += (odds[node] >= 0) != labels[node]
+    assert wrong / total < 0.04
+
+
+def test_messages_are_exact():
+    rng = random.Random(3)
+    for _ in range(20):
+        n = rng.randint(1, 7)
+        parent = [-1] + [rng.randrange(k) for k in range(1, n)]
+        node = [rng.uniform(-2, 2) for _ in range(n)]
+        edge = [tuple(rng.uniform(-2, 2) for _ in range(4)) for _ in range(n)]
+        odds = html_extract.messages(parent, node, edge)[0]
+        mass = np.zeros((n, 2))
+        for labels in np.ndindex(*[2] * n):
+            e = sum(node[k] * labels[k] for k in range(n)) + sum(edge[k][2 * labels[parent[k]] + labels[k]] for k in range(1, n))
+            for k in range(n):
+                mass[k, labels[k]] += np.exp(e)
+        assert np.allclose(odds, np.log(mass[:, 1] / mass[:, 0]))
+
+
+def test_extraction(spark):
+    page = (
+        "<html><head><title>T</title><style>p{}</style><script>var x='</p>';</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>"
+        "<div class='ad'>Buy</div><article><h1>A &amp; B</h1><p>One\n two<br>three<p><b>Four</b> &eacute;</p><aside class=related>More</aside></article>"
+        "<section class=comments><p>nice one</p></section><form>Mail <input></form><footer>&copy; x</footer>"
+    )
+    df = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p"), (None, "n", "plain")], "page_id bigint, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract(df.withColumn("text", F.lit(0))).collect()}
+    want = "A & B\n\nOne two three\n\nFour é"
+    assert got[1] == (want, len(want)) and got[2] == ("", 0) and got[3] == ("", 0)
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_all_pages(spark):
+    got = {r["page_id"]: r["text"] for r in queries.op2_html_extraction(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = (" ".join(html_extract.html.unescape(re.sub("<[^>]+>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inner))
+        assert got[r["page_id"]] == "\n\n".join(b for b in blocks if b)
+
+
+# ---- 3
+
+
+def brute_components(rows, size, threshold):
+    sets = {}
+    for doc, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[doc] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            i = len(sets[a] & sets[b])
+            if i and 100 * i >= threshold * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def near_copies(seed, n=160):
+    rng = random.Random(seed)
+    rows, bases = [], [texts(rng, rng.randint(8, 120)) for _ in range(12)]
+    for k in range(n):
+        words = rng.choice(bases).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 6])):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["new" + str(rng.randint(0, 9))], [words[at].upper(), "x"]])
+        rows.append((k * 3 + 1, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("shingle,threshold", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, edges, shingle, threshold):
+    rows = [(1000 + d, t) for d, t in near_copies(shingle)]
+    both = edges.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = minhash.near_duplicates(both, shingle, threshold).collect()
+    want = brute_components([(r[0], r[1]) for r in EDGES] + rows, shingle, threshold)
+    assert len(got) == both.count()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_large_buckets(spark, empty, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE_BUCKET", 2)
+    rows = near_copies(8, 220)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, 85)
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_signature_estimates():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+    b = np.r_[a[:1600], rng.integers(0, 2**64, 400, dtype=np.uint64)]
+    s = minhash.signatures([np.unique(a), np.unique(b)], 2048)
+    assert abs((s[0] == s[1]).mean() - 1600 / 2400) < 0.05
+    long = minhash.signatures([np.unique(np.r_[a, b])])
+    assert (long == np.minimum(*minhash.signatures([np.unique(a), np.unique(b)]))).all()
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5)]
+    got = dict(components.connected_components(spark.createDataFrame(pairs, "a bigint, b bigint"), Scratch(spark, "t")).collect())
+    root = {v: v for p in pairs for v in p}
+    for _ in range(1200):
+        moved = False
+        for a, b in pairs:
+            low = min(root[a], root[b])
+            moved |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+        if not moved:
+            break
+    assert got == {v: root[v] for a, b in pairs for v in (a, b) if a != b}
+
+
+# ---- 4
+
+
+LEVELS = {"domain": "coalesce(substr(source, 1, 1), '')", "lang": "lang", "source": "source"}
+
+
+def test_mixing_against_sql(spark, edges, empty):
+    rng = random.Random(6)
+    rows = [(k, texts(rng, rng.randint(0, 60)), rng.choice(["en", "de"]), rng.choice(["a1"] * 6 + ["a2", "b1", "b2", "c1"]), 0) for k in range(100, 500)]
+    df = edges.select(*(c.split()[0] for c in DOCS.split(", "))).where("doc_id <> 6").union(docs_of(spark, rows))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    levels = {k: F.expr(v) for k, v in LEVELS.items()}
+    for fraction, epochs in (((1, 2), 1), ((9, 10), 2), ((3, 1), 4), ((1, 1000), 1)):
+        got = mixing.select(df, levels, fraction=fraction, max_epochs=epochs, seed=3)
+        want = con.execute(mixing.oracle(LEVELS, fraction, epochs, 3)).fetchall()
+        names = [d[0] for d in con.description]
+        assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, want))
+    kept = mixing.keep_selected(edges, levels, fraction=(1, 2), seed=3)
+    assert kept.columns == edges.columns and kept.count() <= edges.count()
+    assert mixing.select(empty, levels, fraction=(1, 2)).count() == 0 == mixing.keep_selected(empty, levels, fraction=(1, 2)).count()
+
+
+def test_shortages_stay_among_siblings(spark):
+    supply = spark.createDataFrame([("a", "x", 10), ("a", "y", 1000), ("b", "z", 1000)], "l1 string, l2 string, cap bigint")
+    got = {(r["l1"], r["l2"]): r["budget"] for r in mixing.allocate(supply, ["l1", "l2"], 400).collect()}
+    assert got == {("a", "x"): 10, ("a", "y"): 190, ("b", "z"): 200}
+    weights = spark.createDataFrame([("a", 3), ("a/x", 0)], "path string, weight bigint")
+    got = {(r["l1"], r["l2"]): r["budget"] for r in mixing.allocate(supply, ["l1", "l2"], 400, weights).collect()}
+    assert got == {("a", "x"): 0, ("a", "y"): 300, ("b", "z"): 100}
+    small = supply.withColumn("cap", F.when(F.col("l1") == "a", 5).otherwise(F.col("cap")))
+    got = {(r["l1"], r["l2"]): r["budget"] for r in mixing.allocate(small, ["l1", "l2"], 400).collect()}
+    assert got == {("a", "x"): 5, ("a", "y"): 5, ("b", "z"): 390}
+
+
+# ---- 5
+
+
+def test_ids_equal_the_library(spark, edges, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    rng = random.Random(7)
+    bits = [" ", "  ", "\n", "a", "the", "ing", "0", "-", "=", "#", "é", "日", "🙂", "\t", "▁", "aaaa", "tion", "Z", "́"]
+    m = spm.model()
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        ids = m.encode(t)
+        assert ids.tolist() == sp.encode(t)
+        assert m.decode(ids) == t.replace("▁", " ")
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        assert m.encode(r["text"]).tolist() == sp.encode(r["text"])
+    got = spm.encode(edges).collect()
+    assert len(got) == len(EDGES) and all(r["round_trip"] for r in got) and [r["n_tokens"] for r in got if r["doc_id"] in (1, 2)] == [0, 0]
+    back = {r["doc_id"]: r["text"] for r in spm.decode(spm.encode(edges)).collect()}
+    assert all(back[d] == (t or "") for d, t, *_ in EDGES)
+    assert spm.encode(empty).count() == 0
+
+
+def test_stream_commits_early():
+    rng = random.Random(8)
+    m = spm.model()
+    text = spm.SPACE + "".join(rng.choice("abcdefgh0123-/") for _ in range(5000))
+    stream, out = spm.Stream(m), []
+    for k in range(0, len(text), 37):
+        out += stream.feed(text[k : k + 37])
+    assert stream.widest < 8 * m.longest
+    assert out + stream.finish() == np.frombuffer(m.span(text), "<i4").tolist()
+
+
+def test_unigram_search():
+    rng = random.Random(9)
+    pieces = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", -20.0) for b in range(256)]
+    pieces += [(p, -rng.uniform(1, 6)) for p in ("a", "b", "c", "ab", "bc", "abc", "ca", "cab", "aa", spm.SPACE)]
+    m = spm.Model(pieces, list(range(1, 257)), "unigram", [0])
+
+    def best(text):
+        if not text:
+            return 0.0
+        return max(m.scores[m.ids[text[:k]]] + best(text[k:]) for k in range(1, 5) if text[:k] in m.ids and k <= len(text))
+
+    for _ in range(60):
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
+        stream = spm.Stream(m)
+        ids = [*stream.feed(text), *stream.finish()]
+        assert "".join(m.pieces[i] for i in ids) == text
+        assert sum(m.scores[i] for i in ids) == pytest.approx(best(text))
+
+
+# ---- 6
+
+
+def test_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((300, 16))
+    rows = [(int(k), [float(x) for x in v]) for k, v in enumerate(base)]
+    for k in range(300, 420):
+        v = base[rng.integers(0, 40)]
+        rows.append((k, [float(x) for x in v + rng.standard_normal(16) * rng.choice([0.05, 0.2, 0.4])]))
+    hot = base[0]
+    rows += [(1000 + k, [float(x) for x in hot + rng.standard_normal(16) * 0.02]) for k in range(150)]
+    bad = [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [float("inf")] * 16), (2005, [None] + [1.0] * 15), (2006, [1.0, 2.0]), (5, rows[5][1])]
+    df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>").withColumn("label", F.lit(1)).withColumn("n", F.lit("clash"))
+    monkeypatch.setattr(vector_dedup, "BLOCK", 64)
+    got = vector_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows) + len(bad)
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    ids = [r[0] for r in rows]
+    by = {r["vec_id"]: r for r in got}
+    found = sum(by[i]["n_links"] for i in ids)
+    assert found >= 0.97 * links.sum() and all(by[i]["n_links"] <= n for i, n in zip(ids, links.sum(1)))
+    assert all(by[i]["n_links"] == 0 and by[i]["component_id"] == i for i in range(2000, 2007))
+    assert by[1000]["component_id"] == min(j for j, on in zip(ids, links[ids.index(1000)]) if on) or by[1000]["component_id"] <= 1000
+    none = vector_dedup.near_duplicates(df.limit(0))
+    assert none.count() == 0 and none.columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+def test_vector_blocks_count_each_pair_once():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((4, 8)), 5, axis=0) + rng.standard_normal((20, 8)) * 0.01
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ids, cells = np.arange(20), np.tile([[0, 1]], (20, 1))
+    got_ids, n, labels = vector_dedup.link_block(ids, u, cells[:, 0], ids, u, cells, 0.95)
+    total = np.bincount(got_ids, n, minlength=20)
+    assert (total == 4).all() and set(labels) == {0, 5, 10, 15}
+
+
+# ---- 7
+
+
+def line_truth(rows, min_chars=40, min_docs=5):
+    key = lambda s: re.sub(r"^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$", "", s).translate({c: c + 32 for c in range(65, 91)})
+    holders = defaultdict(set)
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= min_chars:
+                holders[key(line)].add(d)
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (len(holders.get(key(x), ())) >= min_docs and max(holders[key(x)]) != d)]
+        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out)
+
+
+def line_rows(seed):
+    rng = random.Random(seed)
+    pool = [f"This line number {k} is long enough to be counted, é {k}" for k in range(8)] + ["short", ""]
+    return [(k, "\n".join(rng.choice(["", "  ", "\t"]) + rng.choice([str.upper, str])(rng.choice(pool)) for _ in range(rng.randint(1, 9)))) for k in range(100, 160)]
+
+
+def test_line_dedup(spark, edges, empty):
+    rows = line_rows(1) + [(r[0], r[1]) for r in EDGES]
+    df = edges.select("doc_id", "text", "key").union(spark.createDataFrame([(*r, "x") for r in line_rows(1)], "doc_id bigint, text string, key string"))
+    index = line_dedup.LineIndex.build(df)
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in index.report(df).collect())
+    assert got == line_truth(rows) and sum(r[2] for r in got) > 50
+    applied = line_dedup.dedup_lines(df)
+    assert applied.columns == df.columns and sorted(r["text"] for r in applied.collect()) == sorted(r[3] for r in got)
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_line_dedup_is_reversible(spark):
+    rows = line_rows(2)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first, second = df.where("doc_id < 130"), df.where("doc_id >= 130")
+    grown = line_dedup.LineIndex.build(first).insert(second)
+    whole = line_dedup.LineIndex.build(df)
+    flat = lambda x: sorted(map(str, x.collect()))
+    assert flat(grown.counts) == flat(whole.counts) and flat(grown.drops()) == flat(whole.drops())
+    back = grown.delete(second.select("doc_id"))
+    start = line_dedup.LineIndex.build(first)
+    assert flat(back.counts) == flat(start.counts) and flat(back.drops()) == flat(start.drops())
+    keys = start.counts.where("n_docs >= 5").select("h").collect()
+    filters = [line_dedup.CuckooFilter(r["buckets"], bytes(r["slots"])) for r in back.filters.collect()]
+    assert sum(int((f.table > 0).sum()) for f in filters) == len(keys)
+
+
+def test_cuckoo_filter():
+    rng = random.Random(3)
+    keys = [rng.getrandbits(64) - 2**63 for _ in range(900)]
+    f = line_dedup.CuckooFilter.build(keys)
+    assert all(k in f for k in keys)
+    others = [rng.getrandbits(64) - 2**63 for _ in range(20_000)]
+    assert sum(k in f for k in others) < 20
+    for k in keys[:450]:
+        assert f.delete(k)
+    assert all(k in f for k in keys[450:]) and sum(k in f for k in keys[:450]) < 5
+
+
+# ---- 8
+
+
+def test_surrogates():
+    for size in (2, 3, 10, 97):
+        got = [pii._other(k, size, "k", "t") for k in range(size)]
+        assert sorted(got) == list(range(size)) and all(a != b for a, b in enumerate(got))
+    text = "Mrs. Anna Smith (anna.smith@corp.example.com, +1 (555) 010-9999) paid 4111 1111 1111 1111 from 192.168.1.7; password=hunter22, token = \"" + "0a" * 20 + '"'
+    new, found = pii.replace(text)
+    assert [e[2] for e in found] == ["person", "email", "phone", "card", "ipv4", "secret", "secret"]
+    for _, _, _, value, other in found:
+        assert value not in new and value != other
+    assert new.startswith("Mrs. ") and found[0][4].split()[0] in pii.NAMES["latin", "f"]
+    card = "".join(c for c in found[3][4] if c.isdigit())
+    assert not pii._luhn(card) and card[0] == "4" and found[4][4].startswith("192.168.") and found[2][4].startswith("+1 (")
+    assert pii.replace(text) == (new, found) and pii.replace(text, "other key")[0] != new
+    assert pii.replace("Nothing to see in 2024, v1.2.3 or 12:30.")[1] == []
+
+
+def test_surrogates_are_distinct(spark, edges, empty):
+    rows = [(100 + k, f"mail u{k % 50}.{k:02d}@mail{k % 9}.example.com from 10.{k % 250}.3.4 Mr. John{'abcdefghij'[k % 10]} Smith") for k in range(400)]
+    done = pii.pseudonymise_distinct(edges.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert pii.collisions(done).count() == 0
+    e = done.select(F.explode("entities").alias("e")).select("e.type", "e.value", "e.surrogate").distinct()
+    assert e.count() == e.select("type", "value").distinct().count() > 400
+    by = {r["doc_id"]: r["text"] for r in done.collect()}
+    assert by[1] is None and by[2] == "" and by[8] == "word " * 30_000
+    assert pii.pseudonymise(empty).count() == 0
+
+
+# ---- 9
+
+
+def test_quality_against_sql(spark, edges, empty):
+    rng = random.Random(10)
+    rows = [(100, "a b c a b c"), (101, " ".join(["x y z"] * 30)), (102, "A" * 30 + " b" * 60), (103, texts(rng, 80)), (104, " ".join(f"w{k}***" for k in range(60))), (105, "l l\nl l\n\nq")]
+    df = edges.select("doc_id", "text").where("doc_id <> 6").union(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.execute(quality.oracle()).fetchall()
+    names = [d[0] for d in con.description]
+    table = quality.apply_policy(quality.build_ledger(df))
+    assert sorted(map(str, map(tuple, table.select(*names).collect()))) == sorted(map(str, want))
+    by = {r["doc_id"]: r for r in table.collect()}
+    assert by[100]["n_repeat_words"] == 6 and by[105]["n_dup_lines"] == 1 and by[103]["kept"] and not by[104]["kept"] and not by[104]["base_failed"]
+    kept = quality.keep_good(edges)
+    assert kept.columns == edges.columns and kept.count() == 0
+    assert quality.build_ledger(empty).count() == 0 == quality.keep_good(empty).count()
+    ab = {r["rule"]: r for r in quality.ablation(table).collect()}
+    rowsets = list(by.values())
+    for rule, bit in quality.BITS.items():
+        if rule in ab:
+            assert ab[rule]["n_failed"] == sum(bool(r["rule_bits"] & bit) for r in rowsets)
+            assert ab[rule]["n_kept_without"] == sum(not (r["rule_bits"] & ~bit) for r in rowsets)
+
+
+# ---- 10
+
+
+def test_marginals_are_exact():
+    rng = np.random.default_rng(11)
+    for _ in range(10):
+        t = int(rng.integers(1, 7))
+        emit, step = rng.normal(size=(1, t)), rng.normal(size=(2, 2))
+        p = toxicity.marginals(emit, np.array([t]), step)[0][0]
+        mass = np.zeros((t, 2))
+        for y in np.ndindex(*[2] * t):
+            e = sum(emit[0, k] * y[k] for k in range(t)) + sum(step[y[k], y[k + 1]] for k in range(t - 1))
+            for k in range(t):
+                mass[k, y[k]] += np.exp(e)
+        assert np.allclose(p, mass[:, 1] / mass.sum(axis=1))
+
+
+def test_toxicity(spark, edges, empty):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for k in range(400):
+        words = texts(rng, rng.randint(20, 80)).split()
+        toxic = k % 4 == 0
+        if toxic:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(["vile", "Nasty!", "loweiabc", "loweixyz"]))
+        rows.append((k + 100, " ".join(words)))
+        labels.append((k + 100, 1, int(toxic)))
+    docs = edges.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    marks = spark.createDataFrame(labels + [(1, 1, None), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.classify(docs, marks).collect()}
+    truth = {d: t for d, _, t in labels}
+    held = [d for d in truth if got[d]["held_out"]]
+    assert len(held) > 50 and np.mean([got[d]["predicted"] == truth[d] for d in held]) > 0.97
+    import zlib
+
+    assert all(got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d in got)
+    assert 0 <= got[1]["score"] <= 1 and got[1]["score"] == got[2]["score"]
+    one = next(d for d in held if truth[d])
+    text = dict(rows)[one]
+    spans = [text[s["start"] : s["end"]] for s in got[one]["spans"]]
+    assert spans and all(s.strip("!").lower() in ("vile", "nasty", "loweiabc", "loweixyz") for s in spans)
+    assert toxicity.classify(empty, marks).count() == 0
+    assert all(r["score"] < 0.5 for r in toxicity.classify(docs, marks.limit(0)).collect())
+
+
+# ---- the pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    bits = {r["doc_id"]: r["rule_bits"] for r in quality.build_ledger(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    docs = {d: t for d, t in docs.items() if not bits[d]}
+    docs = {d: t for d, _, _, t in line_truth(list(docs.items()))}
+    found = brute_components(list(docs.items()), 5, 80)
+    docs = {d: t for d, t in docs.items() if found[d][1] == d}
+    source = spark.read.parquet(f"{SF}/documents.parquet").drop("text").join(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), "doc_id")
+    con = duckdb.connect()
+    con.register("documents", source.toPandas())
+    taken = {r[0] for r in con.execute(mixing.oracle(corpus_pipeline.MIX_LEVELS, corpus_pipeline.MIX_FRACTION, 1, corpus_pipeline.MIX_SEED)).fetchall()}
+    m = spm.model()
+    want = {d: m.encode(docs[d]).tolist() for d in taken}
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want and len(got) > 50
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name]).fetchall()
+    names = [d[0] for d in con.description]
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, want))
