@@ -64,11 +64,16 @@ PATTERNS: dict[str, tuple[str, str]] = {
     "api_key": ("sk-", _B + r"(?P<v>sk-[A-Za-z0-9_-]{16,})"),
     "secret": (
         "secret",
-        r"(?i:pass(?:word|wd)|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?(?P<v>[^\s\"',;]{6,})",
+        r"(?i:(?:pass(?:word|wd)|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']?|\bbearer\s+)(?P<v>[^\s\"',;]{6,})",
     ),
     "email": ("@", r"(?<![\w.+-])(?P<v>[\w.+-]++@(?:[\w-]+\.)+[^\W\d_]{2,})" + _E),
     "iban": ("", _B + r"(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)" + _E),
     "ipv4": ("", r"(?<![\w.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d|\w)"),
+    "ipv6": (
+        ":",
+        r"(?<![\w:.])(?P<v>(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){2,6}(?::[0-9a-fA-F]{1,4}){1,5}"
+        r"|[0-9a-fA-F]{1,4}:(?::[0-9a-fA-F]{1,4}){2,6})(?![\w:])",
+    ),
     "card": ("", _B + r"(?P<v>\d(?:[ -]?\d){12,18})" + _E),
     "ssn": ("", _B + r"(?P<v>\d{3}-\d{2}-\d{4})" + _E),
     "phone": (
@@ -79,7 +84,7 @@ PATTERNS: dict[str, tuple[str, str]] = {
     "hex_key": ("", _B + r"(?P<v>(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32}))" + _E),
     "person": ("title", _B + r"(?:" + "|".join(TITLES) + r")\.? (?P<v>[^\W\d_a-zа-я]" + _WORD + r"(?: [^\W\d_a-zа-я]" + _WORD + ")?)"),
 }
-_SECRET_MARK = re.compile(r"(?i)pass(?:word|wd)|secret|token|api[_-]?key|access[_-]?key")
+_SECRET_MARK = re.compile(r"(?i)pass(?:word|wd)|secret|token|api[_-]?key|access[_-]?key|bearer\s")
 _TITLE_MARK = re.compile(_B + "(?:" + "|".join(TITLES) + r")\.? ")
 _DIGITS = re.compile(r"\d{2}")
 
@@ -246,6 +251,9 @@ def surrogate(kind: str, value: str, key: str = KEY, gender: str = "", turn: int
         return value[:3] + reshape(value[3:], key, kind)
     if kind == "iban":
         return value[:2] + reshape(value[2:], key, kind)
+    if kind == "ipv6":
+        low, up = "0123456789abcdef", "0123456789ABCDEF"
+        return reshape(value, key, kind, lambda i, c: None if c == ":" else up if value != value.lower() else low)
     if kind in ("hex_key", "secret") and re.fullmatch(r"[0-9a-f]+", value):
         hexes = "0123456789abcdef"
         return reshape(value, key, kind, lambda i, c: hexes)
