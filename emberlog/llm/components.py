@@ -24,10 +24,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         "labels",
     )
     while labels.where("moved").limit(1).count():
-        near = scratch.put(
+        near = (
             links.join(labels.select(F.col("v").alias("b"), "c"), "b")
-            .groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n")),
-            "near",
+            .groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
         )
         lower = scratch.put(
             labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c")),
@@ -37,6 +36,6 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             lower.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c"
         ).select("v", F.least("c", "cc").alias("c"), (F.least("c", "cc") < F.col("old")).alias("moved"))
         new = scratch.put(jumped, "labels")
-        scratch.drop(labels, near, lower)
+        scratch.drop(labels, lower)
         labels = new
     return labels.select("v", "c")

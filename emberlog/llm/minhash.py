@@ -12,8 +12,12 @@ Cost and completeness:
   class representative (smallest doc_id) goes on. A third of the corpus in one class
   costs one partial aggregate per task.
 * Within a band's bucket, members are compared with one hub, which is linear. Only what is
-  still in different components is compared further: large buckets with new hubs
-  first, then every remaining pair of different components. Nothing is capped. For any
+  still in different components is compared further: large buckets with a second hub,
+  then every remaining pair of different components that can be a link by
+  its counts. Members of large buckets also carry SKETCH one-bit coordinates of the same
+  permutations; blocks of them are compared at a time, and only pairs that differ in no more
+  bits than a link does (6.5 standard deviations) become rows, so groups of loosely similar
+  documents never do. A pair that shares several bands is formed in the first only. Nothing is capped. For any
   pair at the threshold, sharing no band has probability (1 - t^4)^32, under 1e-7 for
   t = 0.8 and 1e-10 for t = 0.85.
 * Before sets are moved, the number of equal signature coordinates must reach its mean at
@@ -43,8 +47,12 @@ ROWS = 4
 K = BANDS * ROWS
 SLICE = 2048
 #: Buckets with more members get new hubs before pairs are formed.
-LARGE_BUCKET = 64
-HUB_ROUNDS = 4
+LARGE_BUCKET = 16
+HUB_ROUNDS = 1
+#: One-bit coordinates of members of large buckets.
+SKETCH = 4096
+#: Members of a large bucket that are compared with as many at a time.
+BLOCK = 512
 
 _SCATTER = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
 
@@ -85,23 +93,22 @@ def _ring(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_SHIFTS = np.arange(K, dtype=np.uint32)[:, None]
+def signatures(sets: list[np.ndarray], k: int = K) -> np.ndarray:
+    """(number of sets, k) uint32 signatures of non-empty sets.
 
-
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(number of sets, K) uint32 signatures of non-empty sets.
-
-    Memory is K x SLICE at a time, whatever the length of a set.
+    Memory is K x SLICE at a time, whatever k and the length of a set.
     """
-    out = np.full((len(sets), K), 0xFFFFFFFF, np.uint32)
+    out = np.full((len(sets), k), 0xFFFFFFFF, np.uint32)
+    shifts = np.arange(k, dtype=np.uint32)[:, None]
     if not sets:
         return out
     flat = _scatter(np.concatenate(sets))
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    for at in range(0, len(flat), SLICE):
-        part, own = flat[at : at + SLICE], owner[at : at + SLICE]
+    width = SLICE * K // k
+    for at in range(0, len(flat), width):
+        part, own = flat[at : at + width], owner[at : at + width]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        low = np.minimum.reduceat(_ring(part[None, :] - _SHIFTS), starts, axis=1)
+        low = np.minimum.reduceat(_ring(part[None, :] - shifts), starts, axis=1)
         rows = own[starts]
         out[rows] = np.minimum(out[rows], low.T)
     return out
@@ -171,6 +178,68 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             )
 
 
+def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The lowest bits of SKETCH coordinates, 64 to an integer."""
+    for batch in batches:
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64)
+            sets = [shingle_set(t, size) for t in part.column(1).to_pylist()]
+            bits = (signatures(sets, SKETCH) & np.uint32(1)).astype(np.uint8)
+            longs = np.packbits(bits, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).cast(pa.int64()), list_array(longs.ravel(), [SKETCH // 64] * len(sets), pa.int64())],
+                ["doc", "sketch"],
+            )
+
+
+def sketch_limit(threshold: int) -> int:
+    """Bits in which a link at the threshold may differ: the mean and 6.5 standard deviations."""
+    differ = (100 - threshold) / 200
+    return math.ceil(SKETCH * differ + 6.5 * math.sqrt(SKETCH * differ * (1 - differ)))
+
+
+def _block_pairs(key: int, i: int, j: int, rows: pa.Table, threshold: int) -> pa.RecordBatch:
+    own, doc, c, n = (rows.column(x).to_numpy() for x in ("own", "doc", "c", "n"))
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    raw = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCH // 64)
+    signs = np.unpackbits(raw.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    apart = (SKETCH - signs[left] @ signs[right].T) / 2
+    nl, nr = n[left][:, None], n[right][None]
+    possible = (apart <= sketch_limit(threshold)) & (100 * np.minimum(nl, nr) >= threshold * np.maximum(nl, nr))
+    cl, cr = c[left][:, None], c[right][None]
+    possible &= cl < cr if i == j else cl != cr
+    x, y = np.nonzero(possible)
+    x, y = left[x], right[y]
+    shared = bands[x] == bands[y]
+    here = bands[x, shared.argmax(axis=1)] == key  # of several shared bands, the first forms the pair
+    x, y = doc[x[here]], doc[y[here]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _close_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of large buckets that sketches and counts allow to be links.
+
+    Rows come sorted by (key, i, j); one pair of blocks is held at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    last: tuple[int, int, int] | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(x).to_numpy() for x in ("key", "i", "j")], axis=1)
+        starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
+        for at, end in zip(starts[:-1], starts[1:]):
+            now = tuple(map(int, keys[at]))
+            if held and now != last:
+                yield _block_pairs(*last, pa.Table.from_batches(held), threshold)
+                held = []
+            last = now
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield _block_pairs(*last, pa.Table.from_batches(held), threshold)
+
+
 def _similar(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """The exact check: 100 * intersection >= threshold * union, on full sets."""
     for batch in batches:
@@ -242,7 +311,11 @@ def near_duplicates(
             .where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
             .select("a", "b", "sa", "sb")
         )
-        near = scratch.put(near.mapInArrow(lambda it: _agreeing(it, agree), "a long, b long"), "near")
+        return compared(near.mapInArrow(lambda it: _agreeing(it, agree), "a long, b long"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links, by their full sets."""
+        near = scratch.put(pairs.distinct(), "near")
         ids = scratch.put(near.select("a").union(near.select("b")).distinct().toDF("doc_id"), "ids")
         sets = scratch.put(
             texts.join(sized(ids, ids.count()), "doc_id", "left_semi")
@@ -286,10 +359,34 @@ def near_duplicates(
         )
         more = left.join(star, "key").where("c <> bc").select(F.col("doc").alias("a"), "b")
         links = scratch.put(links.union(confirm(more)), "links")
-    # What no hub has joined: every pair of different components that shares a band.
-    one = left.where("doc <> hub").select("key", F.col("doc").alias("a"), F.col("c").alias("ca"))
-    two = left.where("doc <> hub").select("key", F.col("doc").alias("b"), F.col("c").alias("cb"))
-    rest = confirm(one.join(two, "key").where("ca < cb").select("a", "b"))
+    # What no hub has joined: every pair of different components that shares a band and
+    # which counts and sketches allow to be a link.
+    crowded = scratch.put(left.where(F.col("size") > LARGE_BUCKET).select(F.col("doc").alias("doc_id")).distinct(), "crowded")
+    sketches = scratch.put(
+        texts.join(sized(crowded, crowded.count()), "doc_id", "left_semi").mapInArrow(
+            lambda it: _sketched(it, shingle), "doc long, sketch array<long>"
+        ).dropDuplicates(["doc"]),
+        "sketches",
+    )
+    sides = scratch.put(
+        left.where("doc <> hub").join(reps.select(F.col("doc_id").alias("doc"), "n", "bands"), "doc"), "sides"
+    )
+    small = sides.where(F.col("size") <= LARGE_BUCKET).select("key", "doc", "c", "n")
+    one, two = (small.select("key", *(F.col(x).alias(f"{x}{k}") for x in ("doc", "c", "n"))) for k in (1, 2))
+    counts = 100 * F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("c1") < F.col("c2")) & counts)
+    rest = confirm(pairs.select(F.col("doc1").alias("a"), F.col("doc2").alias("b")))
+    large = (
+        sides.where(F.col("size") > LARGE_BUCKET).join(sketches, "doc")
+        .withColumn("blocks", (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("long"))
+        .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "c", "n", "bands", "sketch")
+    )
+    close = large.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
+        lambda it: _close_pairs(it, threshold), "a long, b long"
+    )
+    rest = rest.union(compared(close))
     comps = connected_components(links.union(rest), scratch)
     return (
         labelled.join(comps.toDF("rep", "c"), "rep", "left")
