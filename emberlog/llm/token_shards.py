@@ -36,6 +36,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,12 +73,15 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        ids = np.array(self.encoding.encode_ordinary(word), "<u2").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("H", self.encoding.encode_ordinary(word)).tobytes()
         if len(word) < 64:
             if len(self.known) >= CACHE:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[word] = ids
         return ids
 
@@ -86,8 +90,12 @@ class Tokenizer:
         if _WIDE_SPACE.search(text):
             return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
         first, *rest = text.split(" ")
-        get, word = self.known.get, self._word
-        return word(first) + b"".join([get(w) or word(w) for w in [" " + x for x in rest]])
+        word = self._word
+        out = [word(first)]
+        for at in range(0, len(rest), 4096):  # the cache may change hands in between
+            get = self.known.get
+            out += [get(w) or word(w) for w in [" " + x for x in rest[at : at + 4096]]]
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         return self.encoding.decode(np.frombuffer(ids, "<u2").tolist())
