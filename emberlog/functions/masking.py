@@ -84,10 +84,8 @@ def fnv(pattern: Column) -> Column:
     Two 32-bit lanes keep every product inside a signed 64-bit integer.
     """
     raw = F.hex(F.encode(pattern, "UTF-8"))
-    octets = F.transform(
-        F.when(F.length(raw) > 0, F.sequence(F.lit(1), F.length(raw), F.lit(2))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.conv(F.substr(raw, i, F.lit(2)), 16, 10).cast("long"),
-    )
+    # A lambda that reads `raw` itself would encode the whole pattern anew for each byte.
+    octets = F.transform(F.regexp_extract_all(raw, F.lit("(..)")), lambda b: F.conv(b, 16, 10).cast("long"))
     low32 = 0xFFFFFFFF
 
     def step(s: Column, b: Column) -> Column:

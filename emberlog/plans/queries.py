@@ -53,9 +53,8 @@ def template_topk(spark, sf_dir):
 
 def template_hash(spark, sf_dir):
     """Hashes of the document lines' distinct templates."""
-    docs = _table(spark, sf_dir, "documents")
-    words = docs.select(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("line"))
-    patterns = words.select(masking.mask(F.col("line")).alias("pattern")).distinct()
+    lines = sources.document_lines(_table(spark, sf_dir, "documents")).select("raw").distinct()
+    patterns = lines.select(masking.mask(F.col("raw")).alias("pattern")).distinct()
     return patterns.select(F.md5("pattern").alias("pattern_md5"), masking.fnv(F.col("pattern")).alias("hash"))
 
 

@@ -1,5 +1,6 @@
 """The driver contract, and the engine without the llm folder."""
 
+import hashlib
 import os
 import shutil
 import subprocess
@@ -10,6 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from emberlog.functions import masking
 from emberlog.plans import queries as log_queries
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +55,12 @@ def test_without_the_llm_folder(tmp_path):
     for file in (root / "emberlog").rglob("*.py"):
         if "llm" not in file.parts:
             assert "emberlog.llm" not in file.read_text()
+
+
+def test_template_hash_reads_every_line(spark, tmp_path):
+    texts = ["first 1\nlater 0x1f\r\n\nlast \"q\" é", "first 2\nonly here 10.0.0.1", "one line", "", None, "\n\nafter blanks 2024-01-02T03:04:05Z\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    patterns = {masking.mask_text(line) for text in texts for line in (text or "").split("\n")}
+    want = {(hashlib.md5(p.encode()).hexdigest(), masking.fnv_text(p)) for p in patterns}
+    got = log_queries.template_hash(spark, str(tmp_path)).select("pattern_md5", "hash").collect()
+    assert len(want) == 7 and sorted(map(tuple, got)) == sorted(want)
