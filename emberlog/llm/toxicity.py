@@ -13,7 +13,8 @@ expected number of toxic tokens, the largest marginal and their share, fitted on
 same documents. Offending offsets are the code points of tokens with a marginal of 0.5.
 
 The model is fitted on the driver from a bounded sample: at most `sample` labelled documents of
-each label, those whose keyed hash is smallest. It holds features of that sample only. Scoring
+each label, those whose keyed hash is smallest. It learns from all of their tokens, cut into
+segments of SEGMENT, and holds features of that sample only. Scoring
 is a map over all rows: no shuffle, whole texts, and memory for one group of documents.
 Labels, language, source and id never enter a score.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ MARKED = 12.0
 LEAST_DOCS = 4
 LEAST_SHARE = 0.015
 SEGMENT = 48
+BLOCK = 2048
 CACHE = 300_000
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,6 +59,10 @@ def features(token: str) -> list[str]:
 
 
 
+def _exp(odds: np.ndarray) -> np.ndarray:
+    return np.exp(np.clip(odds, -300, 300))
+
+
 def marginals(emit: np.ndarray, length: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over padded rows.
 
@@ -138,7 +144,7 @@ def summary(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, np.log1p(total), float(p.max()), float(np.sqrt(total / len(p)))])
 
 
-def _marked(docs: list[tuple[list[str], int]]) -> set[str]:
+def _marked(docs: Iterable[tuple[list[str], int]]) -> set[str]:
     """Features that mark toxic tokens."""
     held = (Counter(), Counter())
     n = [0, 0]
@@ -151,63 +157,68 @@ def _marked(docs: list[tuple[list[str], int]]) -> set[str]:
     }
 
 
-def fit(docs: list[tuple[str | None, int]], rounds: int = 120, seed: int = 3) -> Model:
-    """Train on (text, label) pairs."""
-    split = [(_TOKEN.findall(t) if t else [], int(label)) for t, label in docs]
+def fit(docs: list[tuple[str | None, int]], rounds: int = 120) -> Model:
+    """Train on (text, label) pairs, with every token of every text."""
+    word_id: dict[str, int] = {}
+    split = [
+        (np.array([word_id.setdefault(w, len(word_id)) for w in _TOKEN.findall(t or "")], np.int32), int(label)) for t, label in docs
+    ]
     n_toxic = sum(label for _, label in split)
     if not split or n_toxic in (0, len(split)):
         share = n_toxic / len(split) if split else 0.0
         odds = np.log((share + 1e-9) / (1 - share + 1e-9))
         return Model({}, -20.0, np.zeros((2, 2)), np.array([odds, 0.0, 0.0, 0.0]))
-    marks = _marked(split)
-    rng = np.random.default_rng(seed)
-    segments: list[tuple[list[str], list[int]]] = []
-    for tokens, label in split:
-        labels = [int(label and not marks.isdisjoint(features(w))) for w in tokens]
-        for at in range(0, len(tokens), SEGMENT):
-            y = labels[at : at + SEGMENT]
-            if any(y) or rng.random() < 0.08:
-                segments.append((tokens[at : at + SEGMENT], y))
+    words = list(word_id)
+    marks = _marked(([words[i] for i in np.unique(ids)], label) for ids, label in split)
+    marked = np.array([not marks.isdisjoint(features(w)) for w in words], bool)
+    width = SEGMENT
+    segments = [(ids[at : at + width], label) for ids, label in split for at in range(0, len(ids), width)]
+    rows = len(segments)
+    length = np.array([len(ids) for ids, _ in segments], np.int64)
+    word = np.zeros((rows, width), np.int32)
+    y = np.zeros((rows, width), np.int8)
+    held = np.zeros(len(words), np.int64)
+    for r, (ids, label) in enumerate(segments):
+        word[r, : len(ids)] = ids
+        held[np.unique(ids)] += 1
+        if label:
+            y[r, : len(ids)] = marked[ids]
     names: dict[str, int] = {}
-    seen = Counter(f for tokens, _ in segments for w in set(tokens) for f in features(w))
-    known: dict[str, list[int]] = {}
-    for tokens, _ in segments:
-        for w in tokens:
-            if w not in known:
-                known[w] = [names.setdefault(f, len(names)) for f in features(w) if seen[f] >= 3]
-    rows, width = len(segments), SEGMENT
-    length = np.array([len(s[0]) for s in segments])
-    y = np.zeros((rows, width))
-    place, feature = [], []
-    for r, (tokens, labels) in enumerate(segments):
-        y[r, : len(labels)] = labels
-        for t, w in enumerate(tokens):
-            ids = known[w]
-            feature.extend(ids)
-            place.extend([r * width + t] * len(ids))
+    seen: Counter = Counter()
+    for w, k in zip(words, held.tolist()):
+        for f in features(w):
+            seen[f] += k
+    place, feature = [], []  # a word's features: its score is their sum, wherever it stands
+    for i, w in enumerate(words):
+        ids = [names.setdefault(f, len(names)) for f in features(w) if seen[f] >= 3]
+        feature.extend(ids)
+        place.extend([i] * len(ids))
     place, feature = np.array(place, np.int64), np.array(feature, np.int64)
-    inside = np.arange(width)[None] < length[:, None]
-    pair = inside[:, 1:]
-    seen_pairs = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            seen_pairs[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & pair).sum()
     w = np.zeros(len(names) + 5)  # features, bias, four neighbour weights
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
-        emit = np.bincount(place, w[feature], minlength=rows * width).reshape(rows, width) + w[-5]
+        scores = np.bincount(place, w[feature], minlength=len(words)) + w[-5]
         step = w[-4:].reshape(2, 2)
-        p, fwd, bwd = marginals(emit, length, step)
-        miss = np.where(inside, y - p, 0.0)
         grad = np.zeros_like(w)
-        grad[: len(names)] = np.bincount(feature, miss.ravel()[place], minlength=len(names))
-        grad[-5] = miss.sum()
-        r, s = fwd[:, :-1], (emit + bwd)[:, 1:]
-        logs = np.stack([np.zeros_like(r) + step[0, 0], s + step[0, 1], r + step[1, 0], r + s + step[1, 1]])
-        logs -= logs.max(axis=0)
-        e = np.exp(logs)
-        e *= pair / e.sum(axis=0)
-        grad[-4:] = seen_pairs.ravel() - e.sum(axis=(1, 2))
+        missed = np.zeros(len(words))
+        for at in range(0, rows, BLOCK):  # memory for one block of segments
+            own, label, n = word[at : at + BLOCK], y[at : at + BLOCK], length[at : at + BLOCK]
+            inside = np.arange(width)[None] < n[:, None]
+            pair = inside[:, 1:]
+            emit = scores[own]
+            p, fwd, bwd = marginals(emit, n, step)
+            miss = np.where(inside, label - p, 0.0)
+            missed += np.bincount(own.ravel(), miss.ravel(), minlength=len(words))
+            (e00, e01), (e10, e11) = np.exp(step)
+            r, s = _exp(fwd[:, :-1]), _exp((emit + bwd)[:, 1:])
+            both = r * s * e11
+            both = float((both / (e00 + s * e01 + r * e10 + both))[pair].sum())  # expected pairs of toxic neighbours
+            first, second = float(p[:, :-1][pair].sum()), float(p[:, 1:].sum())
+            expected = np.array([pair.sum() - first - second + both, second - both, first - both, both])
+            pairs = np.bincount((2 * label[:, :-1] + label[:, 1:])[pair], minlength=4)
+            grad[-4:] += pairs - expected
+        grad[: len(names)] = np.bincount(feature, missed[place], minlength=len(names))
+        grad[-5] = missed.sum()
         grad -= 0.5 * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w += 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)

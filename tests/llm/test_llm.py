@@ -520,6 +520,13 @@ def test_toxicity(spark, edges, empty):
     assert all(r["score"] < 0.5 for r in toxicity.classify(docs, marks.limit(0)).collect())
 
 
+def test_toxicity_learns_from_every_segment():
+    toxic = [("vile nasty " + texts(random.Random(k), 30), 1) for k in range(40)]
+    other = [(f"plain{k // 5} " + texts(random.Random(k), 30), 0) for k in range(200)]
+    weights = toxicity.fit(toxic + other).weights
+    assert all(weights.get(f"w:plain{k}", 0) < 0 for k in range(40)) and weights["w:vile"] > 0
+
+
 # ---- the pipeline
 
 
