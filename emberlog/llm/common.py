@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,26 +14,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
-#: A side of a join is broadcast only while it has at most this many rows of a few
-#: integers each (32 MB); beyond, the same join runs as a shuffle join.
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is broadcast only while its rows have at most this many bytes;
+#: beyond, the same join runs as a shuffle join.
+BROADCAST_BYTES = 32_000_000
+
+
+_opened: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def scratch_closed() -> Iterator[None]:
+    """Remove what operators inside wrote for themselves, once their results are written."""
+    _opened.append([])
+    try:
+        yield
+    finally:
+        for made in _opened.pop():
+            made.close()
 
 
 class Scratch:
     """Intermediate tables in the folder all executors share.
 
-    ``spark.checkpoint.dir`` names that folder; where it is unset (a local test
-    session) ``/tmp/checkpoints`` is used. A written table cuts the lineage, so a lost
+    ``spark.checkpoint.dir`` names that folder; where it is unset, only a session on one
+    machine may fall back on ``/tmp/checkpoints``. A written table cuts the lineage, so a lost
     executor costs the running stage only. The tables of a run lie in one folder;
-    `drop` removes those that no later step reads, and what a lazy result
-    still reads can be removed after the result is written.
+    `drop` removes those that no later step reads. What a lazy result still reads goes with
+    `close`, after the result is written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "/tmp/checkpoints"
         self.path = f"{base.rstrip('/')}/emberlog/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if _opened:
+            _opened[-1].append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
@@ -43,20 +65,26 @@ class Scratch:
         self._n += 1
         return f"{self.path}/{self._n}-{name}"
 
+    def _delete(self, path: str) -> None:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(found, True)
+
+    def close(self) -> None:
+        """Remove all tables of the run."""
+        self._delete(self.path)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for table in tables:
             parents = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
             for parent in parents:
                 if "/emberlog/" not in parent:
                     raise ValueError(f"not a scratch table: {parent}")
-                path = jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self._delete(parent)
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within BROADCAST_ROWS."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def sized(df: DataFrame, rows: int, width: int = 32) -> DataFrame:
+    """df with a broadcast hint if its counted rows of `width` bytes each are within BROADCAST_BYTES."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def words(text: Column) -> Column:

@@ -1,8 +1,9 @@
 """Mixing sources to target weights over a tree of levels, native expressions only.
 
 The tree's levels are columns, from the root's children down to the leaves (domain,
-language, source). Weights are whole numbers per node; a node's budget is dealt to its
-children in proportion to their weights. A child can take at most what its subtree can
+language, source). Weights are whole numbers up to MOST_WEIGHT per node; a node's budget is dealt to its
+children in proportion to their weights, whole: what rounding down leaves goes to the largest
+remainders, one each, ties to the first path. A child can take at most what its subtree can
 supply (tokens times the epochs allowed); what it can't take goes to its siblings in
 proportion to their weights, and only what a whole subtree can't take is seen by the
 level above, because subtrees enter that level with their supply as a cap. So shortages move
@@ -22,7 +23,8 @@ leaf table, broadcast while its counted rows are within the bound.
 Cases: null levels are a node of their own (shown as ''). Null or empty texts
 have 0 tokens and are taken with what precedes them in the order. Rows that repeat a doc_id
 stand at one place of the order; on the boundary each of them gives its first tokens. A budget above the
-supply takes the supply. Nodes without a weight have weight 1; weight 0 takes nothing.
+supply takes the supply. Nodes without a weight have weight 1; weight 0 takes nothing. Level values
+should hold no '/', which joins them to paths. Products are decimals of 38 digits.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from emberlog.llm.common import Scratch, sized, words
 
 BIN_ROWS = 2000
+#: What a leaf's row is taken to need in a broadcast.
+LEAF_BYTES = 256
+#: Up to this weight, eighteen digits tell any two quotients apart.
+MOST_WEIGHT = 10**9
 #: Digests are whole numbers below 2^DIGEST_BITS.
 DIGEST_BITS = 52
 
@@ -50,6 +56,10 @@ def _level(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def _wide(expression: str) -> str:
+    return f"cast({expression} as decimal(19, 0))"
+
+
 def allocate(
     supply: DataFrame, levels: Sequence[str], budget: int | Column, weights: DataFrame | None = None
 ) -> DataFrame:
@@ -57,7 +67,7 @@ def allocate(
 
     `supply` has a row for each leaf: the levels and `cap`, the most it can give.
     `weights` has (path, weight), a path being the node's levels joined by '/'.
-    Returns the leaves with `budget`. Whole-number arithmetic: a share is rounded down.
+    Returns the leaves with `budget`. The budgets add up to the whole, or to the supply of what has a weight.
     """
     names = list(levels)
 
@@ -80,26 +90,29 @@ def allocate(
         parents = names[: depth - 1] or [F.lit(0)]
         # Children by the share at which they run dry; those before the first that has
         # enough for its share take their cap, the others share what is left.
-        dry = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight"))
+        dry = F.when(
+            F.col("weight") > 0, F.expr(f"struct(cap div weight, {_wide('cap % weight')} * {10**18}BD div weight)")
+        )
         order = Window.partitionBy(*parents).orderBy(dry.asc_nulls_last(), F.col("path"))
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         after = order.rowsBetween(0, Window.unboundedFollowing)
         nodes = (
             nodes.withColumn("rest", F.col("whole") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
             .withColumn("among", F.sum("weight").over(after))
-            .withColumn("fits", (F.col("weight") > 0) & (F.col("cap") * F.col("among") > F.col("rest") * F.col("weight")))
+            .withColumn("fits", (F.col("weight") > 0) & F.expr(f"{_wide('cap')} * {_wide('among')} > {_wide('rest')} * {_wide('weight')}"))
         )
         first = Window.partitionBy(*parents).orderBy(F.when(F.col("fits"), 0).otherwise(1), dry.asc_nulls_last(), "path")
         whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        nodes = (
-            nodes.withColumn("any", F.max("fits").over(whole))
-            .withColumn("r", F.first("rest").over(whole))
-            .withColumn("s", F.first("among").over(whole))
-        )
-        share = F.when(~F.col("any"), F.col("cap")).otherwise(
-            F.least("cap", F.expr("(weight * greatest(r, 0L)) div greatest(s, 1L)"))
-        )
-        dealt = nodes.select(*names[:depth], F.when(F.col("weight") > 0, share).otherwise(F.lit(0)).cast("long").alias("whole"))
+        nodes = nodes.withColumn("r", F.first("rest").over(whole)).withColumn("s", F.first("among").over(whole))
+        part = f"{_wide('weight')} * {_wide('greatest(r, 0L)')}"
+        nodes = nodes.withColumn("share", F.when(F.col("fits"), F.expr(f"{part} div {_wide('greatest(s, 1L)')}")))
+        nodes = nodes.withColumn("over", F.when(F.col("fits"), F.expr(f"{part} % {_wide('greatest(s, 1L)')}")))
+        rank = F.row_number().over(Window.partitionBy(*parents).orderBy(F.desc_nulls_last("over"), "path"))
+        left = F.greatest(F.col("r"), F.lit(0)) - F.sum("share").over(Window.partitionBy(*parents))
+        given = F.when(F.col("weight") <= 0, F.lit(0)).when(~F.col("fits"), F.col("cap"))
+        given = given.otherwise(F.col("share") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0))
+        nodes = nodes.withColumn("rank", rank).withColumn("left", left)
+        dealt = nodes.select(*names[:depth], given.cast("long").alias("whole"))
     return dealt.withColumnRenamed("whole", "budget")
 
 
@@ -150,7 +163,7 @@ def plan(
     n_leaves = leaves.count()
     partial = leaves.where("rest > 0").select(*names, "epochs", "rest", "bins")
     placed = (
-        sizes.join(sized(partial, n_leaves), names)
+        sizes.join(sized(partial, n_leaves, LEAF_BYTES), names)
         .withColumn("h", digest(seed, F.col("epochs"), F.col("doc_id")))
         .withColumn("bin", F.expr(f"h div ({2**DIGEST_BITS} div bins)"))
     )
@@ -162,7 +175,7 @@ def plan(
         .select(*names, F.col("bin").alias("cut_bin"), (F.col("end") - F.col("t")).alias("start")),
         "cut",
     )
-    inside = placed.join(sized(cut, n_leaves), names).where("bin = cut_bin")
+    inside = placed.join(sized(cut, n_leaves, LEAF_BYTES), names).where("bin = cut_bin")
     ordered = Window.partitionBy(*names).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     edge = (
         inside.groupBy(*names, "rest", "start", "h", "doc_id").agg(F.sum("n_tokens").alias("t"))
@@ -188,7 +201,7 @@ def select(docs: DataFrame, levels: dict[str, Column], seed: int = 0, **options)
     """One row for each taken document and epoch: doc_id, the levels, epoch, n_tokens, take_tokens."""
     names = list(levels)
     sizes, table, _ = plan(docs, levels, seed=seed, **options)
-    rows = sizes.join(sized(table.drop("tokens", "budget", "rest"), table.count()), names)
+    rows = sizes.join(sized(table.drop("tokens", "budget", "rest"), table.count(), LEAF_BYTES), names)
     rows = rows.withColumn("h", digest(seed, F.col("epochs"), F.col("doc_id")))
     edge = (F.col("h") == F.col("cut_h")) & (F.col("doc_id") == F.col("cut_id"))
     take = F.when(edge, F.least("n_tokens", "cut_take")).otherwise(F.col("n_tokens"))
@@ -224,40 +237,55 @@ def keep_selected(
     below = (h < F.col("__mix_cut_h")) | ((h == F.col("__mix_cut_h")) & (ident <= F.col("__mix_cut_id")))
     own = docs.withColumns({f"__own_{name}": _level(column) for name, column in levels.items()})
     on = [F.col(f"__own_{name}") == F.col(key) for name, key in keys.items()]
-    joined = own.join(sized(side, table.count()), on)
+    joined = own.join(sized(side, table.count(), LEAF_BYTES), on)
     return joined.where((F.col("__mix_epochs") > 0) | F.coalesce(below, F.lit(False))).select(*docs.columns)
 
 
-def oracle(levels: dict[str, str], fraction: tuple[int, int], max_epochs: int, seed: int, table: str = "documents") -> str:
-    """DuckDB SQL for select() with weight 1 for every node."""
+def oracle(
+    levels: dict[str, str], fraction: tuple[int, int], max_epochs: int, seed: int, table: str = "documents", weights: dict[str, int] | None = None
+) -> str:
+    """DuckDB SQL for select(); weights by path."""
     names = list(levels)
     cols = ", ".join(names)
-    steps = ""
+    given = ", ".join(f"('{path}', {weight})" for path, weight in (weights or {"": 1}).items())
+    steps = f"""
+wt(path, weight) AS (VALUES {given}),"""
     dealt = ""
     for depth in range(1, len(names) + 1):
         own, up = ", ".join(names[:depth]), names[: depth - 1]
         part = f"PARTITION BY {', '.join(up)} " if up else ""
         path = " || '/' || ".join(names[:depth])
         whole = "(SELECT sum(tokens) * {0} // {1} FROM leaves)".format(*fraction)
-        source = f"SELECT {own}, CAST({whole} AS HUGEINT) AS whole, sum(tokens * {max_epochs}) AS cap, {path} AS path FROM leaves GROUP BY {own}"
+        above = f"CROSS JOIN (SELECT CAST({whole} AS HUGEINT) AS whole)"
         if dealt:
-            source = (
-                f"SELECT n.*, d.whole FROM (SELECT {own}, sum(tokens * {max_epochs}) AS cap, {path} AS path FROM leaves GROUP BY {own}) n "
-                f"JOIN {dealt} d USING ({', '.join(up)})"
-            )
+            above = f"JOIN {dealt} d USING ({', '.join(up)})"
         steps += f"""
-n{depth} AS ({source}),
+n{depth} AS (
+  SELECT n.*, whole, CAST(coalesce(wt.weight, 1) AS HUGEINT) AS weight
+  FROM (SELECT {own}, CAST(sum(tokens * {max_epochs}) AS HUGEINT) AS cap, {path} AS path FROM leaves GROUP BY {own}) n {above} LEFT JOIN wt USING (path)
+),
+w{depth} AS (
+  SELECT *, cap // weight AS dry, (cap % weight) * {10**18} // weight AS dust FROM n{depth} WHERE weight > 0
+),
 o{depth} AS (
-  SELECT *, whole - coalesce(sum(cap) OVER ({part}ORDER BY cap, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
-    count(*) OVER ({part}ORDER BY cap, path ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS among
-  FROM n{depth}
+  SELECT *, whole - coalesce(sum(cap) OVER ({part}ORDER BY dry, dust, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER ({part}ORDER BY dry, dust, path ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS among
+  FROM w{depth}
 ),
+f{depth} AS (SELECT *, cap * among > rest * weight AS fits FROM o{depth}),
 g{depth} AS (
-  SELECT o.*, first_value(rest // among) OVER ({part}ORDER BY CASE WHEN cap * among > rest THEN 0 ELSE 1 END, cap, path ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS share,
-    max(CASE WHEN cap * among > rest THEN 1 ELSE 0 END) OVER ({part}) AS any_fits
-  FROM o{depth} o
+  SELECT *, first_value(greatest(rest, 0)) OVER ({part}ORDER BY CASE WHEN fits THEN 0 ELSE 1 END, dry, dust, path) AS r,
+    first_value(among) OVER ({part}ORDER BY CASE WHEN fits THEN 0 ELSE 1 END, dry, dust, path) AS s
+  FROM f{depth}
+),
+h{depth} AS (SELECT *, CASE WHEN fits THEN weight * r // s END AS share, CASE WHEN fits THEN weight * r % s END AS over FROM g{depth}),
+i{depth} AS (
+  SELECT *, row_number() OVER ({part}ORDER BY over DESC NULLS LAST, path) AS place, r - sum(share) OVER ({part}) AS left_over FROM h{depth}
 ),
-d{depth} AS (SELECT {own}, CASE WHEN any_fits = 0 THEN cap ELSE least(cap, share) END AS whole FROM g{depth}),"""
+d{depth} AS (
+  SELECT {own}, CASE WHEN fits THEN share + CASE WHEN place <= left_over THEN 1 ELSE 0 END ELSE cap END AS whole FROM i{depth}
+  UNION ALL SELECT {own}, CAST(0 AS HUGEINT) FROM n{depth} WHERE weight <= 0
+),"""
         dealt = f"d{depth}"
     return f"""
 WITH sizes AS (

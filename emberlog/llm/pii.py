@@ -488,11 +488,11 @@ def pseudonymise_distinct(
         return _pass(rows.withColumn("turns", F.expr(_NO_TURNS)), key, syllables)
     entry = F.struct(F.concat("gender", F.lit("\n"), "value"), "turn")
     turns = (
-        held.join(sized(changed, n), ["value", "gender"]).groupBy(F.col("doc_id").alias("_doc"))
+        held.join(sized(changed, n, 64), ["value", "gender"]).groupBy(F.col("doc_id").alias("_doc"))
         .agg(F.map_from_entries(F.collect_set(entry)).alias("turns"))
     )
     turns = scratch.put(turns, "turns")
-    return _pass(rows.join(sized(turns, turns.count()), F.col("doc_id").eqNullSafe(F.col("_doc")), "left"), key, syllables)
+    return _pass(rows.join(sized(turns, turns.count(), 256), F.col("doc_id").eqNullSafe(F.col("_doc")), "left"), key, syllables)
 
 
 def collisions(replaced: DataFrame) -> DataFrame:

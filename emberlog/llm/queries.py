@@ -33,12 +33,20 @@ MIX_LEVELS = {
     "source": "source",
 }
 MIX = {"fraction": (6, 10), "max_epochs": 3, "seed": 17}
+#: Target weights by path; other nodes have weight 1.
+MIX_WEIGHTS = {"d0": 5, "d1": 3, "d2": 2}
+MIX_WEIGHTS |= {f"{domain}/{lang}": weight for domain in ("d0", "d1", "d2") for lang, weight in (("en", 6), ("de", 3), ("fr", 2))}
+MIX_WEIGHTS |= {"d1/en/src1": 4, "d2/en/src7": 3, "d0/en/src5": 0}
+
+
+def mix_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MIX_WEIGHTS.items()), "path string, weight bigint")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """60 percent of all tokens, dealt evenly over domains, languages and sources."""
+    """60 percent of all tokens, dealt by MIX_WEIGHTS over domains, languages and sources."""
     levels = {name: F.expr(text) for name, text in MIX_LEVELS.items()}
-    return mixing.select(_table(spark, sf_dir, "documents"), levels, **MIX)
+    return mixing.select(_table(spark, sf_dir, "documents"), levels, weights=mix_weights(spark), **MIX)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +98,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_source_mixing": mixing.oracle(MIX_LEVELS, **MIX),
+    "op4_source_mixing": mixing.oracle(MIX_LEVELS, weights=MIX_WEIGHTS, **MIX),
     "op7_line_dedup": line_dedup.oracle(),
     "op9_quality_rules": quality.oracle(),
 }
