@@ -16,14 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import session
 from emberlog.llm import line_dedup, minhash, mixing, quality, spm
-from emberlog.llm.common import Scratch, sized
-
-#: The mixture's tree and size; see emberlog.llm.mixing.
-MIX_LEVELS = {
-    "domain": "CASE WHEN md5(source) < '5' THEN 'd0' WHEN md5(source) < 'a' THEN 'd1' ELSE 'd2' END",
-    "lang": "lang",
-    "source": "source",
-}
+from emberlog.llm.common import Scratch, scratch_closed, sized
+from emberlog.llm.queries import MIX_LEVELS
+
+#: The mixture's size and seed; its tree is that of op4.
 MIX_FRACTION = (8, 10)
 MIX_SEED = 17
 
@@ -85,5 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.put(stage(spark, docs, sf_dir), name.split()[0])
+        with scratch_closed():
+            docs = scratch.put(stage(spark, docs, sf_dir), name.split()[0])
     return docs
