@@ -87,6 +87,25 @@ def sized(df: DataFrame, rows: int, width: int = 32) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
+#: The most keys that `join_frequent` broadcasts.
+HOT_KEYS = 100_000
+
+
+def join_frequent(big: DataFrame, small: DataFrame, on: list[str], rows: int, count: str) -> DataFrame:
+    """big joined (inner) with small, whose column `count` is at most the number of big's rows of its key.
+
+    Keys of more than 1 / HOT_KEYS of the `rows` of big are at most HOT_KEYS by arithmetic: they
+    are broadcast, and big's rows stay where they are. The others meet in a shuffle join, none with
+    more than that share of the rows.
+    """
+    limit = rows // HOT_KEYS
+    hot = small.where(F.col(count) > limit)
+    if not limit:
+        return big.join(F.broadcast(hot), on)
+    cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.where(F.col(count) <= limit), on)
+    return big.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters other than SPACE_CLASS; null: none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -11,34 +11,40 @@ lines, so lines that repeat nowhere are never shuffled for the exact check, whic
 follows for every line that passes. The filters are broadcast while their measured size
 is at most FILTER_BYTES; beyond, the probe is a shuffle join on the shard.
 
-A cuckoo filter can forget a key, so `LineIndex.delete` undoes `LineIndex.insert`: the
-documents' occurrences go, the counts of their keys are taken anew, and keys that fell
-below the threshold leave their shard's filter.
+The exact check never gathers a frequent line: see `join_frequent`.
 
-Keys are compared as 128-bit digests. A frequent line costs one partial count per task, and
-its lines meet the exact table in a sort-merge join that adaptive execution may split.
+Increments: `LineIndex.insert` and `LineIndex.delete` append. Occurrences are a list of written
+tables and a list of deletions, each with its version; counts are a list of written tables, of which the
+newest row of a key holds. Only the keys that a change touches are counted anew; a cuckoo filter can forget a
+key, so only the shards of keys that cross the threshold are rewritten. After COMPACT changes the
+lists are written as one table.
+
+Keys are compared as 128-bit digests. A frequent line costs one partial count per task.
 
 Cases: a null or empty text is one empty line and loses nothing. Rows that repeat a doc_id
-count as one document, and each of them loses the same keys. Other columns pass through.
+count as one document, and each of them loses the same keys. Rows without a doc_id lose
+nothing and count nowhere. A document that is inserted again adds to what the index holds of it. Other columns pass through.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberlog.llm.common import SPACES, Scratch, sized
+from emberlog.llm.common import SPACES, Scratch, join_frequent, sized
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_KEYS = 800
 FILTER_BYTES = 32_000_000
+#: Changes until the tables of an index are written as one.
+COMPACT = 8
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_ID, _DROPS, _LINES = "__line_dedup_id", "__line_dedup_drops", "__line_dedup_lines"
+_ID, _MARK, _DROPS, _LINES = (f"__line_dedup_{x}" for x in ("id", "mark", "drops", "lines"))
 
 
 class CuckooFilter:
@@ -139,13 +145,21 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _mark(text: Column) -> Column:
+    """Tells the rows of one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """Distinct (key, h, doc_id): which document holds which long key."""
-    keys = F.array_distinct(
-        F.filter(F.transform(_lines(F.col(text_col)), lambda x: _key(x, min_chars)), lambda k: k.isNotNull())
+    """(key, h, doc_id, mark, line): the long lines of the documents; mark tells a row's text, line is its place."""
+    keys = F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("line"), _key(x, min_chars).alias("key")))
+    long = F.filter(keys, lambda k: k["key"].isNotNull())
+    whole = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), _mark(F.col(text_col)).alias("mark"), long.alias("long")
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(keys).alias("key"))
-    return rows.where("doc_id is not null").select("key", F.xxhash64("key").alias("h"), "doc_id")
+    # Apart, so the mark is taken once for each text; outer, so no inferred filter builds the array twice.
+    rows = whole.select("doc_id", "mark", F.explode_outer("long").alias("k")).where("k is not null")
+    return rows.select("k.key", F.xxhash64("k.key").alias("h"), "doc_id", "mark", "k.line")
 
 
 def count_keys(held: DataFrame) -> DataFrame:
@@ -184,7 +198,7 @@ def _passing(held: DataFrame, filters: DataFrame, n_shards: int, filter_bytes: i
         held.withColumn("shard", _shard(F.col("h"), F.lit(n_shards)))
         .join(side.drop("n_shards"), "shard")
         .where(_probe(F.col("h"), F.col("buckets"), F.col("slots")))
-        .select("key", "doc_id")
+        .drop("shard", "buckets", "slots")
     )
 
 
@@ -193,14 +207,19 @@ class LineIndex:
     """Occurrences, exact counts and filters of a set of documents; all are tables."""
 
     scratch: Scratch
-    held: DataFrame
-    counts: DataFrame
+    #: Written occurrences, and deleted documents (doc_id), each with the version that added them.
+    added: list[tuple[int, DataFrame]]
+    gone: list[tuple[int, DataFrame]]
+    #: Written counts; a key's row of the highest version holds.
+    counted: list[tuple[int, DataFrame]]
     filters: DataFrame
     n_shards: int
+    n_held: int
     id_col: str = "doc_id"
     text_col: str = "text"
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
+    version: int = field(default=0)
 
     @classmethod
     def build(
@@ -217,13 +236,47 @@ class LineIndex:
         repeated = counts.where(F.col("n_docs") >= min_docs)
         n_shards = repeated.count() // SHARD_KEYS + 1
         filters = scratch.put(build_filters(repeated.select("h"), n_shards), "filters")
-        return cls(scratch, held, counts, filters, n_shards, id_col, text_col, min_chars, min_docs)
-
-    def _changed(self, held: DataFrame, keys: DataFrame) -> LineIndex:
-        """The index over `held`, which differs from self.held in the keys of `keys` only."""
+        return cls(scratch, [(0, held)], [], [(0, counts)], filters, n_shards, held.count(), id_col, text_col, min_chars, min_docs)
+
+    @property
+    def held(self) -> DataFrame:
+        """(key, h, doc_id, mark, line) of the documents that are not deleted."""
+        found = None
+        for version, table in self.added:
+            for later, ids in self.gone:
+                if later > version:
+                    table = table.join(ids, "doc_id", "left_anti")
+            table = table.select("key", "h", "doc_id", "mark", "line")
+            found = table if found is None else found.unionByName(table)
+        return found
+
+    @property
+    def counts(self) -> DataFrame:
+        """(key, h, n_docs, max_doc) of all keys."""
+        if len(self.counted) == 1:
+            return self.counted[0][1]
+        found = None
+        for version, table in self.counted:
+            table = table.withColumn("version", F.lit(version))
+            found = table if found is None else found.unionByName(table)
+        newest = F.max_by(F.struct("n_docs", "max_doc"), "version").alias("c")
+        return found.groupBy("key", "h").agg(newest).select("key", "h", "c.n_docs", "c.max_doc").where("n_docs > 0")
+
+    def _changed(self, added: list, gone: list, keys: DataFrame, n_held: int) -> LineIndex:
+        """The index with these occurrences, which differ from the present ones in the keys of `keys` only."""
         keys = self.scratch.put(keys.distinct(), "keys")
-        anew = self.scratch.put(count_keys(held.join(keys, "key", "left_semi")), "anew")
-        counts = self.scratch.put(self.counts.join(keys, "key", "left_anti").unionByName(anew), "counts")
+        version = self.version + 1
+        new = LineIndex(
+            self.scratch, added, gone, self.counted, self.filters, self.n_shards, n_held,
+            self.id_col, self.text_col, self.min_chars, self.min_docs, version,
+        )
+        live = count_keys(new.held.join(keys, "key", "left_semi"))
+        none = F.lit(0).cast("long")
+        anew = self.scratch.put(
+            keys.select("key", F.xxhash64("key").alias("h")).join(live.drop("h"), "key", "left")
+            .select("key", "h", F.coalesce("n_docs", none).alias("n_docs"), "max_doc"),
+            "counts",
+        )
         over = F.col("n_docs") >= self.min_docs
         before = self.counts.where(over).join(keys, "key", "left_semi").select("key", "h", F.lit(-1).alias("step"))
         after = anew.where(over).select("key", "h", F.lit(1).alias("step"))
@@ -248,55 +301,61 @@ class LineIndex:
                 {"shard": [key[0]], "n_shards": [n_shards], "buckets": [-1 if full else made.buckets], "slots": [made.to_bytes()]}
             )
 
-        filters = self.scratch.put(
+        new.filters = self.scratch.put(
             self.filters.groupBy("shard").cogroup(steps.groupBy("shard")).applyInPandas(update, _FILTER), "filters"
         )
-        if filters.where("buckets < 0").limit(1).count():  # a shard is full: all are dealt anew
-            repeated = counts.where(over)
-            n_shards = repeated.count() // SHARD_KEYS + 1
-            filters = self.scratch.put(build_filters(repeated.select("h"), n_shards), "filters")
-        return LineIndex(
-            self.scratch, held, counts, filters, n_shards,
-            self.id_col, self.text_col, self.min_chars, self.min_docs,
-        )
+        new.counted = [*self.counted, (version, anew)]
+        if new.filters.where("buckets < 0").limit(1).count():  # a shard is full: all are dealt anew
+            repeated = new.counts.where(over)
+            new.n_shards = repeated.count() // SHARD_KEYS + 1
+            new.filters = self.scratch.put(build_filters(repeated.select("h"), new.n_shards), "filters")
+        if len(new.counted) > COMPACT:
+            held, counts = self.scratch.put(new.held, "held"), self.scratch.put(new.counts, "counts")
+            new.added, new.gone, new.counted = [(version, held)], [], [(version, counts)]
+        return new
 
     def insert(self, docs: DataFrame) -> LineIndex:
         new = self.scratch.put(occurrences(docs, self.id_col, self.text_col, self.min_chars), "new")
-        held = self.scratch.put(self.held.unionByName(new).distinct(), "held")
-        return self._changed(held, new.select("key"))
+        return self._changed([*self.added, (self.version + 1, new)], self.gone, new.select("key"), self.n_held + new.count())
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Without the documents of the one-column table `ids`."""
-        ids = ids.toDF("doc_id")
-        gone = self.scratch.put(self.held.join(ids, "doc_id", "left_semi").select("key", "h", "doc_id"), "gone")
-        held = self.scratch.put(self.held.join(ids, "doc_id", "left_anti").select("key", "h", "doc_id"), "held")
-        return self._changed(held, gone.select("key"))
+        ids = self.scratch.put(ids.toDF("doc_id").distinct(), "ids")
+        keys = self.held.join(ids, "doc_id", "left_semi").select("key")
+        return self._changed(self.added, [*self.gone, (self.version + 1, ids)], keys, self.n_held)
 
     def drops(self) -> DataFrame:
-        """(doc_id, key): the keys that each document loses."""
+        """(doc_id, mark, line, key): the lines that each document loses."""
         size = self.filters.agg(F.sum(F.length("slots"))).first()[0] or 0
-        exact = self.counts.where(F.col("n_docs") >= self.min_docs).select("key", "max_doc")
+        exact = self.counts.where(F.col("n_docs") >= self.min_docs).select("key", "n_docs", "max_doc")
+        passing = _passing(self.held, self.filters, self.n_shards, size)
         return (
-            _passing(self.held, self.filters, self.n_shards, size)
-            .join(exact, "key").where("doc_id <> max_doc").select("doc_id", "key")
+            join_frequent(passing.select("key", "doc_id", "mark", "line"), exact, ["key"], self.n_held, "n_docs")
+            .where("doc_id <> max_doc").select("doc_id", "mark", "line", "key")
         )
 
     def _split(self, docs: DataFrame) -> DataFrame:
         """docs with a column _LINES: the text's lines and those that stay."""
-        drops = self.scratch.put(self.drops().distinct(), "drops")
-        per = drops.groupBy(F.col("doc_id").alias(_ID)).agg(F.collect_list("key").alias(_DROPS))
-        min_chars = self.min_chars
-        out = docs.join(sized(per, drops.count()), docs[self.id_col].cast("long") == F.col(_ID), "left")
+        drops = self.scratch.put(self.drops().select("doc_id", "mark", "line").distinct(), "drops")
+        per = drops.groupBy(F.col("doc_id").alias(_ID), F.col("mark").alias(_MARK)).agg(F.sort_array(F.collect_list("line")).alias(_DROPS))
+        on = (docs[self.id_col].cast("long") == F.col(_ID)) & (_mark(docs[self.text_col]) == F.col(_MARK))
+        out = docs.join(sized(per, drops.count(), 40), on, "left")
         lines = _lines(F.col(self.text_col))
-        kept = F.when(F.col(_DROPS).isNull(), lines).otherwise(
-            F.filter(
-                lines,
-                lambda x: ~F.coalesce(F.array_contains(F.col(_DROPS), _key(x, min_chars)), F.lit(False)),
-            )
-        )
+
+        def left(every: Column) -> Column:
+            """The runs of lines between dropped ones, so the work is linear in the text."""
+            ends = F.concat(F.array(F.lit(-1)), F.col(_DROPS), F.array(F.size(every)))
+            runs = F.zip_with(
+                F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends) - 1),
+                lambda a, b: F.slice(every, a + 2, b - a - 1),
+            )
+            return F.flatten(runs)
+
+        # A lambda's argument is taken once; in a lambda, `lines` itself would split the text for each run.
+        kept = F.when(F.col(_DROPS).isNull(), lines).otherwise(F.get(F.transform(F.array(lines), left), F.lit(0)))
         return out.withColumn(
             _LINES, F.struct(F.size(lines).cast("long").alias("n"), kept.alias("kept"))
-        ).drop(_ID, _DROPS)
+        ).drop(_ID, _MARK, _DROPS)
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with the text column reduced to the lines that stay."""
