@@ -8,25 +8,30 @@ are candidates, and a candidate becomes a link only after the full sets were com
 
 Cost and completeness:
 
-* Documents with equal sets are one class, formed by a grouped aggregate, and only the
-  class representative (smallest doc_id) goes on. A third of the corpus in one class
-  costs one partial aggregate per task.
+* Documents with equal sets are one class, formed by a grouped aggregate, and only one text of a class
+  goes on. In the link graph a class is the vertex of its smallest doc_id. A third of the corpus in one class costs one partial
+  aggregate per task, and its documents learn their component without meeting in a task. Links found later
+  join the components found before, which aren't labelled anew.
 * Within a band's bucket, members are compared with one hub, which is linear. Only what is
   still in different components is compared further: large buckets with a second hub,
   then every remaining pair of different components that can be a link by
   its counts. Members of large buckets also carry SKETCH one-bit coordinates of the same
-  permutations; blocks of them are compared at a time, and only pairs that differ in no more
-  bits than a link does (6.5 standard deviations) become rows, so groups of loosely similar
-  documents never do. A pair that shares several bands is formed in the first only. Nothing is capped. For any
+  permutations. They are compared in blocks; a large component has blocks of its own, and two of them never
+  meet, so a bucket of one large component and a few outsiders costs rows in proportion to its members. Only
+  pairs that differ in no more bits than a link does (6.5 standard deviations) become rows, so groups of loosely
+  similar documents never do. A pair that shares several bands is formed in the first only. Nothing is capped. For any
   pair at the threshold, sharing no band has probability (1 - t^4)^32, under 1e-7 for
   t = 0.8 and 1e-10 for t = 0.85.
 * Before sets are moved, the number of equal signature coordinates must reach its mean at
   the threshold less 6.5 standard deviations, which a true link fails with a
   probability of about 1e-10.
 
+Shingles are compared as 64-bit hashes; sets are one class if 128 bits of digest and their sizes agree.
+
 Cases: null, empty and blank texts have the empty set and link with nothing. A
-text with fewer words than a shingle is one shingle as a whole. Repeated rows with
-one doc_id count as one vertex. Other columns of the input are ignored.
+text with fewer words than a shingle is one shingle as a whole. Rows that repeat a doc_id
+are one vertex, which has the links of all of its texts; each row has the size of its own set. Rows
+without a doc_id link with nothing, have no component and are kept. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from emberlog.llm.common import Scratch, list_array, mix64, sized
-from emberlog.llm.components import connected_components
+from emberlog.llm.common import Scratch, join_frequent, list_array, mix64, sized
+from emberlog.llm.components import connected_components, merge_components
 
 BANDS = 32
 ROWS = 4
@@ -168,27 +173,37 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
 
+def digests(raw: bytes) -> tuple[int, int]:
+    """Two signed 64-bit digests of a set's bytes."""
+    two = np.array([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh3_64_intdigest(raw, 2)], np.uint64)
+    return tuple(two.view(np.int64).tolist())
+
+
+def _wanted_sets(batch: pa.RecordBatch, size: int) -> tuple[list[pa.Array], list[np.ndarray]]:
+    """(doc, rep) and the sets of (doc, rep, text, f1, f2) rows whose text is the one meant: a doc_id can have several."""
+    sets = [shingle_set(t, size) for t in batch.column(2).to_pylist()]
+    keep = [
+        digests(s.tobytes()) == f for s, f in zip(sets, zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()))
+    ]
+    return [batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], [s for s, k in zip(sets, keep) if k]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
-            part = batch.slice(at, 256)
-            sets = [shingle_set(t, size).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "s"]
-            )
+            ids, sets = _wanted_sets(batch.slice(at, 256), size)
+            yield pa.RecordBatch.from_arrays([*ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "rep", "s"])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The lowest bits of SKETCH coordinates, 64 to an integer."""
     for batch in batches:
         for at in range(0, len(batch), 64):
-            part = batch.slice(at, 64)
-            sets = [shingle_set(t, size) for t in part.column(1).to_pylist()]
+            (docs, _), sets = _wanted_sets(batch.slice(at, 64), size)
             bits = (signatures(sets, SKETCH) & np.uint32(1)).astype(np.uint8)
             longs = np.packbits(bits, axis=1).view("<i8")
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), list_array(longs.ravel(), [SKETCH // 64] * len(sets), pa.int64())],
-                ["doc", "sketch"],
+                [docs, list_array(longs.ravel(), [SKETCH // 64] * len(sets), pa.int64())], ["doc", "sketch"]
             )
 
 
@@ -198,46 +213,74 @@ def sketch_limit(threshold: int) -> int:
     return math.ceil(SKETCH * differ + 6.5 * math.sqrt(SKETCH * differ * (1 - differ)))
 
 
-def _block_pairs(key: int, i: int, j: int, rows: pa.Table, threshold: int) -> pa.RecordBatch:
-    own, doc, c, n = (rows.column(x).to_numpy() for x in ("own", "doc", "c", "n"))
+def _block_pairs(key: int, rows: pa.Table, threshold: int) -> pa.RecordBatch:
+    right, doc, c, n = (rows.column(x).to_numpy() for x in ("right", "doc", "c", "n"))
     bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     raw = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCH // 64)
     signs = np.unpackbits(raw.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    apart = (SKETCH - signs[left] @ signs[right].T) / 2
-    nl, nr = n[left][:, None], n[right][None]
+    one, two = np.flatnonzero(~right), np.flatnonzero(right)
+    within = not len(two)  # a block with itself
+    if within:
+        two = one
+    apart = (SKETCH - signs[one] @ signs[two].T) / 2
+    nl, nr = n[one][:, None], n[two][None]
     possible = (apart <= sketch_limit(threshold)) & (100 * np.minimum(nl, nr) >= threshold * np.maximum(nl, nr))
-    cl, cr = c[left][:, None], c[right][None]
-    possible &= cl < cr if i == j else cl != cr
+    cl, cr = c[one][:, None], c[two][None]
+    possible &= cl < cr if within else cl != cr
     x, y = np.nonzero(possible)
-    x, y = left[x], right[y]
+    x, y = one[x], two[y]
     shared = bands[x] == bands[y]
     here = bands[x, shared.argmax(axis=1)] == key  # of several shared bands, the first forms the pair
     x, y = doc[x[here]], doc[y[here]]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
+_BLOCK_KEY = ("key", "gi", "bi", "gj", "bj")
+
+
 def _close_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Pairs of large buckets that sketches and counts allow to be links.
 
-    Rows come sorted by (key, i, j); one pair of blocks is held at a time.
+    Rows come sorted by _BLOCK_KEY; one pair of blocks is held at a time.
     """
     held: list[pa.RecordBatch] = []
-    last: tuple[int, int, int] | None = None
+    last: tuple[int, ...] | None = None
     for batch in batches:
         if not len(batch):
             continue
-        keys = np.stack([batch.column(x).to_numpy() for x in ("key", "i", "j")], axis=1)
+        keys = np.stack([batch.column(x).to_numpy() for x in _BLOCK_KEY], axis=1)
         starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
         for at, end in zip(starts[:-1], starts[1:]):
             now = tuple(map(int, keys[at]))
             if held and now != last:
-                yield _block_pairs(*last, pa.Table.from_batches(held), threshold)
+                yield _block_pairs(last[0], pa.Table.from_batches(held), threshold)
                 held = []
             last = now
             held.append(batch.slice(at, end - at))
     if held:
-        yield _block_pairs(*last, pa.Table.from_batches(held), threshold)
+        yield _block_pairs(last[0], pa.Table.from_batches(held), threshold)
+
+
+def block_rows(members: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """The rows (key, gi, bi, gj, bj, right, doc) of every pair of blocks to compare.
+
+    members: (key, doc, c), doc of component c in bucket `key`. A component of more than half a
+    block has blocks (g = c, b); the others of a bucket share blocks with g = -1. Blocks of one
+    component don't meet.
+    """
+    per = members.groupBy("key", "c").agg(F.count("*").alias("m")).withColumn("g", F.when(F.col("m") > block // 2, F.col("c")).otherwise(-1))
+    per = scratch.put(per, "per")
+    wide = per.groupBy("key", "g").agg((F.floor((F.sum("m") - 1) / block) + 1).cast("long").alias("nb"))
+    wide = scratch.put(wide, "wide")
+    placed = members.join(per.select("key", "c", "g"), ["key", "c"]).join(wide, ["key", "g"])
+    placed = scratch.put(placed.select("key", "g", F.pmod(F.xxhash64("doc"), F.col("nb")).alias("b"), "doc"), "placed")
+    blocks = wide.select("key", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("b"))
+    one, two = blocks.toDF("key", "gi", "bi"), blocks.toDF("key", "gj", "bj")
+    pairs = one.join(two, "key").where("struct(gi, bi) <= struct(gj, bj) and (gi <> gj or gi = -1)")
+    pairs = scratch.put(pairs, "pairs")
+    left = pairs.withColumns({"g": F.col("gi"), "b": F.col("bi"), "right": F.lit(False)})
+    right = pairs.where("gi <> gj or bi <> bj").withColumns({"g": F.col("gj"), "b": F.col("bj"), "right": F.lit(True)})
+    return placed.join(left.union(right), ["key", "g", "b"]).select(*_BLOCK_KEY, "right", "doc")
 
 
 def _similar(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
@@ -266,8 +309,7 @@ def near_duplicates(
 
     `threshold` is in percent. component_id is the smallest doc_id reachable by links.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     least = can_link_others(threshold)
     signed = scratch.put(
@@ -277,33 +319,35 @@ def near_duplicates(
         ),
         "signed",
     )
-    classes = scratch.put(
-        signed.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes"
-    )
-    labelled = scratch.put(
-        signed.select("doc_id", "n", "f1", "f2")
-        .join(classes.withColumnRenamed("n", "m"), ["f1", "f2"], "left")
-        .select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")),
-        "labelled",
+    rows = signed.count()
+    of = ["f1", "f2", "n"]
+    linkable = signed.where("n > 0 and doc_id is not null")
+    classes = linkable.groupBy(*of).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    classes = scratch.put(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
+    reps = (
+        linkable.where(F.size("bands") > 0)
+        .join(classes.select(F.col("rep").alias("doc_id"), *of, "doc"), ["doc_id", *of])
+        .dropDuplicates(["doc_id", *of]).select("doc", F.col("doc_id").alias("rep"), "n", "bands", "sig")
     )
-    reps = signed.where(F.size("bands") > 0).join(
-        classes.where(F.col("n") >= least).select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"
-    ).dropDuplicates(["doc_id"])
-    reps = scratch.put(reps.select("doc_id", "n", "bands", "sig"), "reps")
-    members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"))
+    reps = scratch.put(reps, "reps")
+    members = reps.select(F.explode("bands").alias("key"), "doc", "rep")
     hubs = scratch.put(
         members.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1"),
         "hubs",
     )
     shared = scratch.put(members.join(hubs, "key"), "shared")
-    scratch.drop(signed)
 
     mean, spread = K * threshold / 100, math.sqrt(K * threshold * (100 - threshold)) / 100
     agree = math.floor(mean - 6.5 * spread)
-    side = reps.select("doc_id", "n", "sig")
+    side = reps.select("doc", "n", "sig")
+
+    def wanted(needed: DataFrame) -> DataFrame:
+        """(doc, rep, text, f1, f2) of the classes of the one-column table `needed`; a text that isn't meant may come along."""
+        found = scratch.put(classes.join(needed.toDF("doc"), "doc", "left_semi").select(F.col("rep").alias("doc_id"), "doc", "f1", "f2"), "wanted")
+        return texts.join(sized(found, found.count(), 48), "doc_id").select("doc", "doc_id", "text", "f1", "f2")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links, by signature first and then by full sets."""
+        """The vertices of the pairs (a, b) of classes that are links, by signature first and then by full sets."""
         near = (
             pairs.distinct()
             .join(side.toDF("a", "na", "sa"), "a")
@@ -314,28 +358,27 @@ def near_duplicates(
         return compared(near.mapInArrow(lambda it: _agreeing(it, agree), "a long, b long"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links, by their full sets."""
+        """The vertices of the pairs of classes that are links, by their full sets."""
         near = scratch.put(pairs.distinct(), "near")
-        ids = scratch.put(near.select("a").union(near.select("b")).distinct().toDF("doc_id"), "ids")
         sets = scratch.put(
-            texts.join(sized(ids, ids.count()), "doc_id", "left_semi")
-            .mapInArrow(lambda it: _sets(it, shingle), "doc_id long, s binary"),
+            wanted(near.select("a").union(near.select("b")).distinct())
+            .mapInArrow(lambda it: _sets(it, shingle), "doc long, rep long, s binary"),
             "sets",
         )
-        full = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        full = near.join(sets.toDF("a", "ra", "x"), "a").join(sets.toDF("b", "rb", "y"), "b")
         links = scratch.put(
-            full.select("a", "b", "x", "y").mapInArrow(lambda it: _similar(it, threshold), "a long, b long"),
+            full.select("ra", "rb", "x", "y").mapInArrow(lambda it: _similar(it, threshold), "a long, b long"),
             "found",
         )
-        scratch.drop(sets, ids, near)
+        scratch.drop(sets, near)
         return links
 
     links = confirm(shared.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
+    comps = connected_components(links, scratch)
     for turn in range(HUB_ROUNDS + 1):
-        comps = connected_components(links, scratch)
         placed = scratch.put(
-            shared.join(comps.toDF("doc", "c"), "doc", "left").select(
-                "key", "hub", "size", "doc", F.coalesce("c", "doc").alias("c")
+            shared.join(comps.toDF("rep", "c"), "rep", "left").select(
+                "key", "hub", "size", "doc", F.coalesce("c", "rep").alias("c")
             ),
             "placed",
         )
@@ -344,10 +387,11 @@ def near_duplicates(
             "split",
         )
         left = scratch.put(placed.join(split, "key"), "left")
-        if turn == HUB_ROUNDS or not left.where(F.col("size") > LARGE_BUCKET).limit(1).count():
+        crowded = left.where(F.col("size") > LARGE_BUCKET)
+        if turn == HUB_ROUNDS or not crowded.limit(1).count():
             break
         per = scratch.put(
-            left.where(F.col("size") > LARGE_BUCKET).groupBy("key", "c").agg(
+            crowded.groupBy("key", "c").agg(
                 F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("d")
             ),
             "per",
@@ -358,42 +402,44 @@ def near_duplicates(
             "star",
         )
         more = left.join(star, "key").where("c <> bc").select(F.col("doc").alias("a"), "b")
-        links = scratch.put(links.union(confirm(more)), "links")
+        comps = merge_components(comps, confirm(more), scratch)
     # What no hub has joined: every pair of different components that shares a band and
     # which counts and sketches allow to be a link.
-    crowded = scratch.put(left.where(F.col("size") > LARGE_BUCKET).select(F.col("doc").alias("doc_id")).distinct(), "crowded")
-    sketches = scratch.put(
-        texts.join(sized(crowded, crowded.count()), "doc_id", "left_semi").mapInArrow(
-            lambda it: _sketched(it, shingle), "doc long, sketch array<long>"
-        ).dropDuplicates(["doc"]),
-        "sketches",
-    )
-    sides = scratch.put(
-        left.where("doc <> hub").join(reps.select(F.col("doc_id").alias("doc"), "n", "bands"), "doc"), "sides"
-    )
-    small = sides.where(F.col("size") <= LARGE_BUCKET).select("key", "doc", "c", "n")
+    small = left.where((F.col("doc") != F.col("hub")) & (F.col("size") <= LARGE_BUCKET)).select("key", "doc", "c")
+    small = scratch.put(small.join(reps.select("doc", "n"), "doc"), "small")
     one, two = (small.select("key", *(F.col(x).alias(f"{x}{k}") for x in ("doc", "c", "n"))) for k in (1, 2))
     counts = 100 * F.least("n1", "n2") >= threshold * F.greatest("n1", "n2")
     pairs = one.join(two, (one["key"] == two["key"]) & (F.col("c1") < F.col("c2")) & counts)
-    rest = confirm(pairs.select(F.col("doc1").alias("a"), F.col("doc2").alias("b")))
-    large = (
-        sides.where(F.col("size") > LARGE_BUCKET).join(sketches, "doc")
-        .withColumn("blocks", (F.floor((F.col("size") - 1) / BLOCK) + 1).cast("long"))
-        .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "c", "n", "bands", "sketch")
-    )
-    close = large.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        lambda it: _close_pairs(it, threshold), "a long, b long"
-    )
-    rest = rest.union(compared(close))
-    comps = connected_components(links.union(rest), scratch)
-    return (
-        labelled.join(comps.toDF("rep", "c"), "rep", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.coalesce("c", "rep").alias("component_id"),
+    links = confirm(pairs.select(F.col("doc1").alias("a"), F.col("doc2").alias("b")))
+    large = left.where((F.col("doc") != F.col("hub")) & (F.col("size") > LARGE_BUCKET)).select("key", "doc", "c")
+    if large.limit(1).count():
+        sketches = scratch.put(
+            wanted(large.select("doc").distinct()).mapInArrow(lambda it: _sketched(it, shingle), "doc long, sketch array<long>")
+            .join(reps.select("doc", "n", "bands"), "doc"),
+            "sketches",
         )
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        wide = block_rows(large, scratch, BLOCK).join(large.select("doc", "c").distinct(), "doc").join(sketches, "doc")
+        close = wide.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY).select(
+            *_BLOCK_KEY, "right", "doc", "c", "n", "bands", "sketch"
+        )
+        links = links.union(compared(close.mapInArrow(lambda it: _close_pairs(it, threshold), "a long, b long")))
+
+    # Classes that share a doc_id are linked by it.
+    held = linkable.groupBy("doc_id").agg(F.min(F.struct(*of)).alias("lo"), F.max(F.struct(*of)).alias("hi")).where("lo <> hi")
+    held = scratch.put(held.select("doc_id"), "held")
+    if held.limit(1).count():
+        mine = linkable.join(held, "doc_id").select("doc_id", *of).distinct().join(classes.select(*of, "rep"), of)
+        links = links.union(mine.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    comps = merge_components(comps, links, scratch).toDF("rep", "c")
+    found = classes.join(comps, "rep", "left").select(*of, "size", F.coalesce("c", "rep").alias("component_id"))
+    found = scratch.put(found, "classed")
+    narrow = signed.select("doc_id", *of)
+    done = join_frequent(narrow.where("n > 0 and doc_id is not null"), found, of, rows, "size").select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id"
+    )
+    rest = narrow.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"))
+    other = scratch.put(done.join(rest, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("own")), "other")
+    rest = rest.join(sized(other, other.count()), "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("component_id")
     )
+    return done.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
