@@ -200,6 +200,39 @@ def test_large_buckets(spark, empty, monkeypatch):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    """Several blocks to a component, several components to a block, and blocks with themselves."""
+    monkeypatch.setattr(minhash, "LARGE_BUCKET", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 0)
+    rows = near_copies(9, 260)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 3, 85)
+
+
+def test_outsiders_of_a_large_component_cost_linear_rows(spark):
+    members = [(7, k, 0) for k in range(20_000)] + [(7, 20_000 + k, 20_000 + k) for k in range(3)] + [(8, k, k % 2) for k in range(10)]
+    table = spark.createDataFrame(members, "key bigint, doc bigint, c bigint")
+    rows = minhash.block_rows(table, Scratch(spark, "t"), 512).collect()
+    assert len([r for r in rows if r["key"] == 7]) == 20_000 + 3 * 41
+    pairs = defaultdict(lambda: (set(), set()))
+    for r in rows:
+        pairs[tuple(r)[:5]][r["right"]].add(r["doc"])
+    c = {(key, doc): x for key, doc, x in members}
+    met = {(k[0], *sorted(p)) for k, (one, two) in pairs.items() for a in one for b in (two or one) for p in [(a, b)] if c[k[0], a] != c[k[0], b]}
+    assert len(met) == 3 * 20_000 + 3 + 25
+
+
+def test_repeated_ids_have_the_links_of_all_their_texts(spark):
+    a, b, d = (texts(random.Random(k), 60) for k in (1, 2, 3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, d), (5, ""), (5, d), (6, None), (None, a), (None, ""), (4, d)]
+    for size, threshold in ((3, 85), (5, 80)):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size, threshold).collect()
+        assert len(got) == len(rows)
+        assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (5, 4), (6, 6)]
+        assert all(r["kept"] and r["component_id"] is None for r in got if r["doc_id"] is None)
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**64, 2000, dtype=np.uint64)
@@ -226,6 +259,27 @@ def test_components(spark):
     assert got == {v: root[v] for a, b in pairs for v in (a, b) if a != b}
 
 
+@pytest.mark.parametrize("path", ["late", "zigzag", "mixed"])
+def test_component_rounds_of_long_paths(spark, path):
+    n = 1024
+    ids = {"late": [*range(2, n + 1), 1], "zigzag": [k // 2 + 1 if k % 2 else n - k // 2 for k in range(n)], "mixed": random.Random(3).sample(range(1, n + 1), n)}[path]
+    scratch = Scratch(spark, "t")
+    got = components.connected_components(spark.createDataFrame(list(zip(ids, ids[1:])), "a bigint, b bigint").repartition(2), scratch).collect()
+    assert {r["c"] for r in got} == {1} and len(got) == n
+    assert scratch._n <= 2 + 3 * 25
+
+
+def test_merged_components(spark):
+    rng = random.Random(6)
+    table = lambda pairs: spark.createDataFrame(pairs, "a bigint, b bigint")
+    one, two = ([(rng.randrange(300), rng.randrange(300)) for _ in range(120)] for _ in range(2))
+    scratch = Scratch(spark, "t")
+    first = components.connected_components(table(one), scratch)
+    got = sorted(map(tuple, components.merge_components(first, table(two), scratch).collect()))
+    assert got == sorted(map(tuple, components.connected_components(table(one + two), scratch).collect()))
+    assert components.merge_components(first, table(two).limit(0), scratch) is first
+
+
 # ---- 4
 
 
@@ -261,6 +315,55 @@ def test_shortages_stay_among_siblings(spark):
     assert got == {("a", "x"): 5, ("a", "y"): 5, ("b", "z"): 390}
 
 
+def test_budgets_are_exact_and_whole(spark):
+    """Against exact fractions: products beyond 64 bits, close quotients, ties, weight 0, remainders."""
+    from fractions import Fraction
+
+    def deal(whole, nodes):  # name -> (cap, weight)
+        open_, given = {n for n, (_, w) in nodes.items() if w > 0}, {}
+        while open_:
+            level = Fraction(max(0, whole - sum(given.values())), sum(nodes[n][1] for n in open_))
+            dry = {n for n in open_ if nodes[n][0] <= level * nodes[n][1]}
+            if not dry:
+                exact = {n: level * nodes[n][1] for n in open_}
+                given |= {n: int(x) for n, x in exact.items()}
+                over = sorted(open_, key=lambda n: (-(exact[n] - int(exact[n])), n))
+                for n in over[: max(0, whole) - sum(given.values())]:
+                    given[n] += 1
+                break
+            low = min(Fraction(nodes[n][0], nodes[n][1]) for n in dry)
+            given |= {n: nodes[n][0] for n in dry if Fraction(nodes[n][0], nodes[n][1]) == low}
+            open_ -= given.keys()
+        return {n: given.get(n, 0) for n in nodes}
+
+    rng = random.Random(14)
+    for k in range(8):
+        big = 10 ** rng.choice([2, 6, 13, 17])
+        nodes = {f"n{j:02d}": (rng.choice([rng.randrange(big), big // 3, 0]), rng.choice([0, 1, 1, 3, 10**6, 10**9])) for j in range(12)}
+        whole = rng.choice([1000, big, 2 * big, sum(c for c, _ in nodes.values())])
+        supply = spark.createDataFrame([(n, c) for n, (c, _) in nodes.items()], "l string, cap bigint")
+        weights = spark.createDataFrame([(n, w) for n, (_, w) in nodes.items()], "path string, weight bigint")
+        got = {r["l"]: r["budget"] for r in mixing.allocate(supply, ["l"], whole, weights).collect()}
+        assert got == deal(whole, nodes)
+    even = spark.createDataFrame([(n, 10**6) for n in "abc"], "l string, cap bigint")
+    assert sorted(r["budget"] for r in mixing.allocate(even, ["l"], 1000).collect()) == [333, 333, 334]
+
+
+def test_weighted_mixing_against_sql(spark, edges):
+    rng = random.Random(15)
+    rows = [(k, texts(rng, rng.randint(0, 60)), rng.choice(["en", "de"]), rng.choice(["a1"] * 6 + ["a2", "b1", "b2", "c1"]), 0) for k in range(100, 400)]
+    df = edges.select(*(c.split()[0] for c in DOCS.split(", "))).where("doc_id <> 6").union(docs_of(spark, rows))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    weights = {"a": 3, "b": 2, "a/en": 5, "a/en/a1": 0, "b/de": 7, "c": 0}
+    table = spark.createDataFrame(list(weights.items()), "path string, weight bigint")
+    for fraction, epochs in (((1, 2), 1), ((2, 1), 3)):
+        got = mixing.select(df, {k: F.expr(v) for k, v in LEVELS.items()}, fraction=fraction, max_epochs=epochs, seed=3, weights=table)
+        want = con.execute(mixing.oracle(LEVELS, fraction, epochs, 3, weights=weights)).fetchall()
+        names = [d[0] for d in con.description]
+        assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, want))
+
+
 # ---- 5
 
 
@@ -406,6 +509,46 @@ def test_line_dedup_is_reversible(spark):
     assert sum(int((f.table > 0).sum()) for f in filters) == len(keys)
 
 
+def test_line_dedup_by_shuffles(spark, monkeypatch):
+    """The plans of large inputs: no key is hot, filters and drops are not broadcast."""
+    from emberlog.llm import common
+
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = line_rows(3) + [(k, "This one line is held by very many documents of the table") for k in range(500, 600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for hot_keys in (10, 1):
+        monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+        got = line_dedup.LineIndex.build(df).report(df).collect()
+        assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got) == line_truth(rows)
+
+
+def test_line_dedup_of_odd_rows(spark):
+    line = "A line that is long enough to be counted and repeated"
+    long = "\n".join([line, *(f"{k} {line}" for k in range(30_000))])
+    rows = [(k, long) for k in range(5)] + [(7, line), (7, f"x\n{line}\n{line}"), (None, line), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.lit(1)).withColumn("line", F.lit("z"))
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.LineIndex.build(df).report(df).collect()), key=str)
+    want = [(k, 30_001, 30_001) for k in range(4)] + [(4, 30_001, 1), (7, 1, 0), (7, 3, 0), (None, 1, 0), (None, 1, 0)]
+    assert got == sorted(want, key=str)
+
+
+def test_line_dedup_increments_append(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COMPACT", 3)
+    flat = lambda x: sorted(map(str, x.collect()))
+    rows = line_rows(4)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = line_dedup.LineIndex.build(df.where("doc_id < 115"))
+    for low in (115, 130, 145):
+        first = index.added[0][1]
+        index = index.insert(df.where(f"doc_id >= {low} and doc_id < {low + 15}"))
+        assert index.version == 3 or index.added[0][1] is first
+    index = index.delete(df.where("doc_id < 120").select("doc_id"))
+    index = index.insert(df.where("doc_id < 110"))
+    same = line_dedup.LineIndex.build(df.where("doc_id < 110 or doc_id >= 120"))
+    assert flat(index.counts) == flat(same.counts) and flat(index.drops()) == flat(same.drops())
+
+
 def test_cuckoo_filter():
     rng = random.Random(3)
     keys = [rng.getrandbits(64) - 2**63 for _ in range(900)]
