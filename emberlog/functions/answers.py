@@ -4,9 +4,13 @@ on anything but blank text."""
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 
+import pandas as pd
+from pyspark.sql import functions as F, types as T
+
 from emberlog.functions.text import duration
 
 TRIGGER_CHARS, CONTEXT_CHARS, SUMMARY_CHARS = 1000, 300, 400
@@ -68,65 +72,67 @@ FIELDS = {
 }
 _FIELD_OF = {key: name for name, keys in FIELDS.items() for key in keys}
 _FENCE = "```"
+_DECODER = json.JSONDecoder(strict=True)
+_WHITE = " \t\n\r"
 
 
 def without_fences(text: str) -> str:
-    """What stands in the first fence, if there is one."""
-    before, fence, rest = text.partition(_FENCE)
-    if not fence:
+    """The body of the first fenced block, without the language after its opening marks; else the text."""
+    parts = text.split(_FENCE, 2)
+    if len(parts) == 1:
         return text
-    tag, newline, body = rest.partition("\n")
-    if newline and "{" not in tag:
-        rest = body
-    return rest.partition(_FENCE)[0].strip()
-
-
-def _pairs(text: str, answer: Answer) -> tuple[bool, bool]:
-    """Read complete pairs of an object that may be cut off; (a field was found, it was closed)."""
-    decoder = json.JSONDecoder(strict=True)
-    white = " \t\n\r"
-    found, at = False, 1
-
-    def skip(i: int) -> int:
-        while i < len(text) and text[i] in white:
-            i += 1
-        return i
-
-    at = skip(at)
-    if text[at : at + 1] == "}":
-        return False, True
-    while True:
+    language, _, body = parts[1].partition("\n")
+    return (parts[1] if "{" in language or "\n" not in parts[1] else body).strip()
+
+
+def _next(text: str, at: int) -> tuple[str, int]:
+    """The first character that isn't white space at or after a place ('' at the end), and its place."""
+    while at < len(text) and text[at] in _WHITE:
+        at += 1
+    return text[at : at + 1], at
+
+
+def _values(text: str, at: int) -> Iterator[tuple[str, object] | None]:
+    """The complete (key, value) pairs of the object that opens at a place; None last if the object is closed.
+
+    A number at the very end may have been cut and isn't complete.
+    """
+    mark, at = _next(text, at + 1)
+    while mark != "}":
         try:
-            key, at = decoder.raw_decode(text, skip(at))
-            at = skip(at)
-            if not isinstance(key, str) or text[at : at + 1] != ":":
-                return found, False
-            value, at = decoder.raw_decode(text, skip(at + 1))
+            key, at = _DECODER.raw_decode(text, at)
+            mark, at = _next(text, at)
+            if mark != ":" or not isinstance(key, str):
+                return
+            value, at = _DECODER.raw_decode(text, _next(text, at + 1)[1])
         except (ValueError, RecursionError):
-            return found, False
-        name = _FIELD_OF.get("".join(c for c in key.lower() if c not in "_- \t"))
-        at = skip(at)
-        if at >= len(text) and not isinstance(value, str):
-            return found, False  # a number may have been cut
-        if isinstance(value, str) and value.strip() and name:
-            setattr(answer, name, value.strip())
-            found = True
-        if text[at : at + 1] == "}":
-            return found, True
-        if text[at : at + 1] != ",":
-            return found, False
-        at += 1
+            return
+        mark, at = _next(text, at)
+        if mark or isinstance(value, str):
+            yield key, value
+        if mark == ",":
+            mark, at = _next(text, at + 1)
+            if mark == "}":
+                return
+        elif mark != "}":
+            return
+    yield None
 
 
 def partial(text: str) -> tuple[Answer | None, bool]:
     """The first object that gives a field, and whether it was closed."""
     text = without_fences(text.strip())
-    for i, c in enumerate(text):
-        if c == "{":
-            answer = Answer()
-            found, closed = _pairs(text[i:], answer)
-            if found:
-                return answer, closed
+    at = text.find("{")
+    while at >= 0:
+        pairs = list(_values(text, at))
+        fields = {}
+        for key, value in filter(None, pairs):
+            name = _FIELD_OF.get(key.lower().translate({ord(c): None for c in "_- \t"}))
+            if name and isinstance(value, str) and value.strip():
+                fields[name] = value.strip()
+        if fields:
+            return Answer(**fields), pairs[-1] is None
+        at = text.find("{", at + 1)
     return None, False
 
 
@@ -137,3 +143,16 @@ def parse(text: str) -> Answer:
     if answer:
         return answer
     return Answer(summary=shortened(" ".join(without_fences(text.strip()).split()), SUMMARY_CHARS))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("summary", "likely_cause", "suggestion", "error")]))
+def parsed(raw: pd.Series) -> pd.DataFrame:
+    """parse() over a column; blank texts give an error."""
+    rows = []
+    for text in raw:
+        try:
+            a = parse(text or "")
+            rows.append((a.summary, a.likely_cause, a.suggestion, ""))
+        except ValueError as error:
+            rows.append(("", "", "", str(error)))
+    return pd.DataFrame(rows, columns=["summary", "likely_cause", "suggestion", "error"])

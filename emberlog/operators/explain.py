@@ -207,7 +207,8 @@ SCHEMA = "seq bigint, state string, summary string, likely_cause string, suggest
 
 def explain(escalated: DataFrame, make_backend: Callable[[], Backend], workers: int = 2) -> DataFrame:
     """(seq, state, ...) for each escalation, which has raw, pattern, source, stream, level, count,
-    us, first_us and context. A failure is a result; it fails no task."""
+    us, first_us and context. A failure is a result; it fails no task. `workers` requests at most run at a
+    time, whatever the cluster: it is the backend's limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make_backend()

@@ -2,7 +2,8 @@
 
 The bucket is global and each decision depends on the one before, so the rows that reach the
 threshold pass in (time, seq) order through one task, as a stream with the cache as its only
-state. They are few by the gate's purpose; everything before and after stays parallel.
+state, and come out with their decision: scores are computed once and nothing is joined back. They
+are few by the gate's purpose; everything before stays parallel.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberlog.config import ScoreConfig
 
@@ -59,23 +60,31 @@ def decide(scored: DataFrame, config: ScoreConfig = ScoreConfig(), key: str = "p
     """The rows at or above the threshold, with `decision`."""
     rate, ttl = config.rate_per_min, int(config.cache_ttl * 1_000_000)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gate = Gate(rate, ttl)
         for batch in batches:
-            made = [gate.decide(k, int(u)) for k, u in zip(batch["key"], batch["us"])]
-            yield pd.DataFrame({"seq": batch["seq"], "us": batch["us"], "decision": made})
+            made = [gate.decide(k, u) for k, u in zip(batch.column(key).to_pylist(), batch.column("us").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "decision"])
 
     candidates = scored.where(F.col("score") >= config.threshold)
-    narrow = candidates.select("seq", "us", F.col(key).alias("key")).repartition(1).sortWithinPartitions("us", "seq")
-    made = narrow.mapInPandas(run, "seq bigint, us bigint, decision string")
-    return candidates.join(made, ["seq", "us"])
+    ordered = candidates.repartition(1).sortWithinPartitions("us", "seq")
+    return ordered.mapInArrow(run, T.StructType([*candidates.schema.fields, T.StructField("decision", T.StringType())]))
 
 
 def stats(decided: DataFrame) -> DataFrame:
-    """Escalated, cached and suppressed rows."""
+    """Escalated, cached, suppressed and dropped rows; with queued(), dropped are escalations the queue had no room for."""
+    lost = F.count_if((F.col("decision") == "escalated") & ~F.col("queued")) if "queued" in decided.columns else F.lit(0).cast("bigint")
     return decided.agg(
-        *(F.count_if(F.col("decision") == d).alias(d) for d in ("escalated", "cached", "suppressed")),
-        F.lit(0).cast("bigint").alias("dropped"),
+        *(F.count_if(F.col("decision") == d).alias(d) for d in ("escalated", "cached", "suppressed")), lost.alias("dropped")
+    )
+
+
+def cache_counts(decided: DataFrame, key: str = "pattern") -> DataFrame:
+    """(key, hits): rows of each template's present cache entry, the escalation that made it among them."""
+    made = decided.where("decision = 'escalated'").groupBy(key).agg(F.max("us").alias("_made"))
+    return (
+        decided.where("decision <> 'suppressed'").join(made, key)
+        .groupBy(key).agg((1 + F.count_if((F.col("decision") == "cached") & (F.col("us") >= F.col("_made")))).alias("hits"))
     )
 
 

@@ -47,16 +47,28 @@ def stream_tail(lines: DataFrame, n: int = 2000) -> DataFrame:
     return lines.orderBy(us.desc(), F.desc("seq")).limit(n).orderBy(us, "seq")
 
 
-def cards(decided: DataFrame, summaries: DataFrame, history: DataFrame, n: int = 20) -> DataFrame:
+def cards(decided: DataFrame, summaries: DataFrame, history: DataFrame | None = None, n: int = 20) -> DataFrame:
     """The newest escalation of each template, the n most recent, oldest first.
 
-    Line, score and reasons are those of the escalation; counts, times and flags are live.
+    Line, score and reasons are those of the escalation; counts, times and flags are live. Without
+    a history, flags are counted on the way.
     """
     w = Window.partitionBy("pattern").orderBy(F.desc("us"), F.desc("seq"))
-    newest = decided.where("decision = 'escalated'").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    kept = newest.orderBy(F.desc("us"), F.desc("seq")).limit(n)
+    newest = decided.where("decision = 'escalated'").withColumn("_r", F.row_number().over(w))
+    if history is None:
+        whole = Window.partitionBy("pattern")
+        newest = newest.withColumns(
+            {"flag_count": F.count("*").over(whole), "first_flagged_us": F.min("us").over(whole), "last_flagged_us": F.max("us").over(whole)}
+        )
+    kept = newest.where("_r = 1").drop("_r").orderBy(F.desc("us"), F.desc("seq")).limit(n)
     live = summaries.select("pattern", F.col("count").alias("live_count"), F.col("first_seen").alias("live_first"), F.col("last_seen").alias("live_last"))
-    return kept.join(live, "pattern", "left").join(history, "pattern", "left").orderBy("us", "seq")
+    made = kept.join(live, "pattern", "left")
+    return (made if history is None else made.join(history, "pattern", "left")).orderBy("us", "seq")
+
+
+def newest_first(shown: DataFrame) -> DataFrame:
+    """Cards as a screen lists them."""
+    return shown.orderBy(F.desc("us"), F.desc("seq"))
 
 
 def snapshot_stats(lines: DataFrame, decided: DataFrame) -> DataFrame:
@@ -117,10 +129,19 @@ def write_records(rows: DataFrame, path: str) -> None:
     json_lines(rows).write.mode("append").text(path)
 
 
-def plain_lines(decided: DataFrame, lines: DataFrame, dry_run: bool = False) -> DataFrame:
-    """(seq, part, text): each line's summary, and what was flagged after it.
+def explained_text(state: str, pattern: str, summary: str, cause: str, suggestion: str, truncated: bool, error: str) -> str:
+    """What the plain sink prints when an answer arrives."""
+    if state != "explained":
+        return f"EXPLANATION UNAVAILABLE: {pattern} | {error}"
+    rows = [f"EXPLAINED{' (INCOMPLETE)' if truncated else ''}: {pattern}", f"  what:  {summary}"]
+    rows += [f"  {name}: {value}" for name, value in (("cause", cause), ("check", suggestion)) if value]
+    return "\n".join(rows)
+
 
-    lines has count; decided adds decision, reasons, score and queued.
+def plain_lines(decided: DataFrame, lines: DataFrame, dry_run: bool = False, answers: DataFrame | None = None) -> DataFrame:
+    """(seq, part, text): each line's summary (0), what was flagged after it (1) and its answer (2).
+
+    lines has count; decided adds decision, reasons, score and queued; answers is as in records().
     """
     label = F.when(F.col("level") == "", "-").otherwise(F.col("level"))
     plain = F.concat(F.lit("["), "source", F.lit(" "), label, F.lit(" x"), F.col("count").cast("string"), F.lit("] "), "pattern")
@@ -132,7 +153,21 @@ def plain_lines(decided: DataFrame, lines: DataFrame, dry_run: bool = False) ->
         return pd.Series([f"{v}: {p} | reasons: {', '.join(r)} | score: {s:.2f}" for v, p, r, s in zip(verbs, pattern, reasons, score)])
 
     hits = decided.where("decision = 'escalated'").select("seq", F.lit(1).alias("part"), flagged("pattern", "reasons", "score", "queued").alias("text"))
-    return every.unionByName(hits)
+    if answers is None or dry_run:
+        return every.unionByName(hits)
+
+    @F.pandas_udf("string")
+    def told(state: pd.Series, pattern: pd.Series, summary: pd.Series, cause: pd.Series, check: pd.Series, cut: pd.Series, error: pd.Series) -> pd.Series:
+        return pd.Series([explained_text(*row) for row in zip(state, pattern, summary, cause, check, cut, error)])
+
+    rows = decided.where("decision = 'escalated'").select("seq", "pattern").join(answers, "seq")
+    text = told("state", "pattern", "summary", "likely_cause", "suggestion", "truncated", "error")
+    return every.unionByName(hits).unionByName(rows.select("seq", F.lit(2).alias("part"), text.alias("text")))
+
+
+def explain_counts(carried: DataFrame) -> DataFrame:
+    """One row: how many templates wait for an answer, have one, or failed; of carry_answers()."""
+    return carried.agg(*(F.count_if(F.col("state") == s).alias(n) for s, n in (("pending", "explaining"), ("done", "explained"), ("failed", "failed"))))
 
 
 def carry_answers(flags: DataFrame, answers: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.config import ContainerConfig, ScoreConfig
-from emberlog.functions import levels, masking
-from emberlog.operators import fold, gate, score, views
+from emberlog.functions import anonymize, answers, levels, masking
+from emberlog.operators import explain, fold, gate, score, views
 from emberlog.sources import lines as sources
 
 #: The events are sparse: an hour's window finds bursts.
@@ -159,7 +159,7 @@ def flag_history(spark, sf_dir):
 def cards(spark, sf_dir):
     rows = _lines(spark, sf_dir, SPEEDUP)
     decided = gate.decide(score.with_score(rows, PRESSED), PRESSED)
-    made = views.cards(decided, score.template_summary(rows), gate.flag_history(decided))
+    made = views.cards(decided, score.template_summary(rows))
     return made.select("seq", "pattern", "score", "live_count", "flag_count", "first_flagged_us", "last_flagged_us")
 
 
@@ -212,6 +212,115 @@ def fan_in(spark, sf_dir):
     return both.groupBy("source", "stream").agg(F.count("*").alias("lines"))
 
 
+# ---- records, plain lines and answers
+
+
+def _escalated(spark, sf_dir):
+    rows = _decided(spark, sf_dir)
+    return score.with_reasons(rows, PRESSED)
+
+
+def _record_columns(rows):
+    return rows.select(
+        "kind", "template_hash", "pattern", "level", "source", "count_at_flag", "first_seen", "last_seen_at_flag", "score",
+        F.size("reasons").cast("bigint").alias("n_reasons"), F.col("explanation.state").alias("state"), F.col("explanation.at").alias("at"),
+    )
+
+
+def export_records(spark, sf_dir):
+    """Export records of the escalations, without an explainer."""
+    return _record_columns(views.records(_escalated(spark, sf_dir)))
+
+
+def would_escalate(spark, sf_dir):
+    """Export records of a dry run."""
+    return _record_columns(views.records(_escalated(spark, sf_dir), dry_run=True))
+
+
+def plain_lines(spark, sf_dir):
+    """The plain sink's lines in a dry run; of flags, what stands before the reasons."""
+    scored = score.with_score(_lines(spark, sf_dir, SPEEDUP), PRESSED)
+    decided = gate.queued(score.with_reasons(gate.decide(scored, PRESSED), PRESSED), None)
+    rows = views.plain_lines(decided, scored, dry_run=True)
+    return rows.select("seq", "part", F.substring_index("text", " | reasons", 1).alias("text"))
+
+
+def explain_stub(spark, sf_dir):
+    """Answers of the stub explainer to all escalations."""
+    flagged = _decided(spark, sf_dir).where("decision = 'escalated'").withColumn("context", F.array().cast("array<string>"))
+    return explain.explain(flagged, explain.Stub).select("seq", "state", "summary", "likely_cause", "suggestion", "truncated", "error")
+
+
+def answer_carry_forward(spark, sf_dir):
+    """What each template shows after its last flag, if every third answer fails and every fifth never comes."""
+    flagged = _decided(spark, sf_dir).where("decision = 'escalated'")
+    flags = flagged.select(F.col("pattern").alias("hash"), F.col("us").alias("ts"))
+    failed = F.col("seq") % 3 == 0
+    name = F.concat(F.lit("answer "), F.col("seq").cast("string"))
+    back = flagged.where("seq % 5 <> 0").select(
+        F.col("pattern").alias("hash"), (F.col("us") + 1_000_000).alias("at"), F.when(failed, "failed").otherwise("done").alias("state"),
+        F.when(failed, "").otherwise(name).alias("summary"), F.lit("").alias("likely_cause"), F.lit("").alias("suggestion"),
+        F.when(failed, "down").otherwise("").alias("err"),
+    )
+    return views.carry_answers(flags, back).select(F.col("hash").alias("pattern"), "state", "summary", "err", F.coalesce("at", F.lit(-1)).alias("at"))
+
+
+# ---- anonymising
+
+
+def anonymize_counts(spark, sf_dir):
+    """Finds of the e-mail and of the IPv4 rule, each alone, in every document."""
+    email, ipv4 = anonymize.hits(F.col("text"), "EMAIL"), anonymize.hits(F.col("text"), "IP", 1)
+    return _table(spark, sf_dir, "documents").select("doc_id", email.alias("emails"), ipv4.alias("ipv4s"))
+
+
+def _masked(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", anonymize.mask(F.array("text")).alias("m"))
+    return rows.select("doc_id", "text", F.col("m.masked")[0].alias("masked"), "m.tokens", "m.error")
+
+
+def anonymize_full(spark, sf_dir):
+    """Whether each document passed all rules, and how many e-mail addresses it had placeholders for."""
+    emails = F.size(F.filter(F.map_keys("tokens"), lambda k: k.startswith("<EMAIL_"))).cast("bigint")
+    return _masked(spark, sf_dir).select("doc_id", (F.col("error") == "").alias("passed"), emails.alias("emails"))
+
+
+def anonymize_roundtrip(spark, sf_dir):
+    """Documents after masking and restoring."""
+    return _masked(spark, sf_dir).select("doc_id", F.md5(anonymize.restore("masked", "tokens")).alias("text_md5"))
+
+
+# ---- fixed rows
+
+#: Lines of two services 1 ms apart, as (seq, ms, source, raw); what they fold to stands in the SQL as literals.
+_TRACES = (
+    (0, 0, "api", "ready"), (1, 1, "api", "Traceback (most recent call last):"), (2, 2, "job", "panic: out of coins"), (3, 3, "api", '  File "till.py", line 8, in pay'),
+    (4, 4, "job", ""), (5, 5, "api", "    give(change)"), (6, 6, "job", "goroutine 9 [running]:"), (7, 7, "api", "CoinError: none left"), (8, 8, "job", "main.pay(0x7)"),
+    (9, 9, "job", "\t/srv/till.go:8 +0x2"), (10, 10, "api", "closed"), (11, 11, "job", "closed"), (12, 12, "api", 'Exception in thread "till" org.shop.CoinError: none'),
+    (13, 13, "api", "\tat org.shop.Till.pay(Till.java:8)"), (14, 14, "api", "Caused by: org.shop.Empty: coins"), (15, 15, "api", "\t... 2 more"), (16, 16, "api", "closed"),
+    (17, 17, "job", "  an indented line"), (18, 400, "job", "  after a pause"), (19, 401, "job", "fatal error: all asleep"), (20, 402, "job", "[signal SIGSEGV]"), (21, 403, "job", ""),
+    (22, 404, "job", "main.wait(...)"), (23, 700, "job", "\tmain.go:3"),
+)
+
+_REPLIES = (
+    (1, '{"summary":"coins ran out","likely_cause":"no refill","suggestion":"refill"}'), (2, '```json\n{"what":"late","why":"fog","check":"wait"}\n```'),
+    (3, 'Look: {"summary":"cut off","likely_cause":"half a'), (4, "just some\nwords"), (5, "   "), (6, '{"n":1} {"Root Cause":"salt"}'), (7, '{"summary":"","action":" stir "}'),
+)
+
+
+def coalesce_traces(spark, sf_dir):
+    """Traces of three languages, interleaved over two sources, with pauses."""
+    rows = spark.createDataFrame([(q, us * 1000, s, raw) for q, us, s, raw in _TRACES], "seq bigint, us bigint, source string, raw string")
+    rows = rows.select("seq", F.timestamp_micros("us").alias("time"), "source", F.lit("stdout").alias("stream"), "raw", F.lit("").alias("level"))
+    return fold.fold(rows).select("seq", "source", "n_lines", F.substring_index("raw", "\n", -1).alias("last"))
+
+
+def parse_answers(spark, sf_dir):
+    """Fields of replies, whole, fenced, cut off or without any."""
+    rows = spark.createDataFrame(list(_REPLIES), "n bigint, reply string")
+    return rows.select("n", answers.parsed("reply").alias("a")).select("n", "a.*")
+
+
 # ---- sources on fixed rows
 
 _CONTAINERS = "VALUES ('a1', '/web', 'app', 'x'), ('b2', '/db-1', 'app', 'y'), ('c3', 'cache', 'tier', 'x'), ('d4', '/db-2', 'none', '')"
@@ -247,7 +356,8 @@ QUERIES = {
         level_counts, json_shape_props, running_state, recent_rate, baseline_rate, novelty, burst, severity, score_rows,
         score_histogram, gate_threshold, gate_cache, gate_rate, gate_full, escalation_stats, flag_history, cards,
         escalation_context, card_context, stream_tail, snapshot_stats, lines_per_second, sources_list, coalesce_documents,
-        coalesce_trace_sizes, fan_in, container_match, docker_ts, journald_decode,
+        coalesce_trace_sizes, fan_in, container_match, docker_ts, journald_decode, export_records, would_escalate, plain_lines,
+        explain_stub, answer_carry_forward, anonymize_counts, anonymize_full, anonymize_roundtrip, coalesce_traces, parse_answers,
     )
 }
 
@@ -404,6 +514,22 @@ def _dense(select: str) -> str:
     return _with(_events(), _state(DENSE), _score(DENSE)) + select
 
 
+def _stamp(us: str) -> str:
+    """RFC 3339 in UTC, with as many digits of the fraction as it needs."""
+    return f"strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') || regexp_replace(strftime(make_timestamp({us}), '.%f'), '\\.?0+$', '') || 'Z'"
+
+
+def _records_sql(kind: str, state: str) -> str:
+    return _gated() + f"""SELECT '{kind}' AS kind, {masking.duckdb_fnv('dc.pattern')} AS template_hash, dc.pattern, sc.level, sc.source, sc.count AS count_at_flag,
+  {_stamp('sc.first_us')} AS first_seen, {_stamp('dc.us')} AS last_seen_at_flag, dc.score,
+  CAST(novel AS BIGINT) + CAST(burst AS BIGINT) + CAST(stream = 'stderr' AS BIGINT) + CAST(level IN ('FATAL', 'PANIC', 'ERROR', 'CRITICAL', 'WARN') AS BIGINT) AS n_reasons,
+  '{state}' AS state, '0001-01-01T00:00:00Z' AS at
+FROM dc JOIN sc USING (seq) WHERE decision = 'escalated'"""
+
+
+_EMAIL_SQL = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')"
+_IPV4_SQL = r"regexp_extract_all(coalesce(text, ''), '\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\b')"
+
 _CACHE = ScoreConfig(threshold=0.6, rate_per_min=1_000_000, cache_ttl=60.0)
 _RATE = ScoreConfig(threshold=0.6, rate_per_min=5, cache_ttl=0.0)
 
@@ -458,4 +584,28 @@ FROM (SELECT *, regexp_matches(raw, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2
 FROM (SELECT n, line, json_extract_string(j, '$.MESSAGE') AS m, json_extract_string(j, '$.PRIORITY') AS p,
   coalesce(json_extract_string(j, '$._SYSTEMD_UNIT'), json_extract_string(j, '$.SYSLOG_IDENTIFIER'), json_extract_string(j, '$._COMM')) AS unit
   FROM (SELECT n, line, CASE WHEN line LIKE '{{%' THEN CAST(line AS JSON) END AS j FROM ({_ENTRIES}) AS t(n, line)))""",
+    "export_records": _records_sql("anomaly", "unavailable"),
+    "would_escalate": _records_sql("would_escalate", "not_requested"),
+    "plain_lines": _gated()
+    + """SELECT seq, 0 AS part, '[' || source || ' ' || CASE WHEN level = '' THEN '-' ELSE level END || ' x' || count || '] ' || pattern AS text FROM ws
+UNION ALL SELECT seq, 1, 'WOULD ESCALATE: ' || pattern FROM dc WHERE decision = 'escalated'""",
+    "explain_stub": _gated()
+    + """SELECT dc.seq, 'explained' AS state, 'seen ' || sc.count || ' times: ' || dc.pattern AS summary, 'unknown' AS likely_cause,
+  'look at ' || sc.source AS suggestion, false AS truncated, '' AS error FROM dc JOIN sc USING (seq) WHERE decision = 'escalated'""",
+    "answer_carry_forward": _gated()
+    + """, fl AS (SELECT pattern, us, seq FROM dc WHERE decision = 'escalated'),
+an AS (SELECT pattern, us + 1000000 AS us, seq % 3 <> 0 AS good, 'answer ' || seq AS text FROM fl WHERE seq % 5 <> 0),
+al AS (SELECT pattern, us, 0 AS k, false AS good, 'pending' AS state, '' AS text FROM fl
+  UNION ALL SELECT pattern, us, 1, good, CASE WHEN good THEN 'done' ELSE 'failed' END, text FROM an),
+la AS (SELECT pattern, arg_max(state, (us, k)) AS state, max(us) FILTER (WHERE good) AS good_at, arg_max(text, us) FILTER (WHERE good) AS text, max(us) AS last_at FROM al GROUP BY pattern)
+SELECT pattern, state, coalesce(text, '') AS summary, CASE WHEN state = 'failed' THEN 'down' ELSE '' END AS err,
+  CASE WHEN good_at IS NOT NULL THEN good_at WHEN state = 'failed' THEN last_at ELSE -1 END AS at FROM la""",
+    "anonymize_counts": f"SELECT doc_id, len({_EMAIL_SQL}) AS emails, len({_IPV4_SQL}) AS ipv4s FROM documents",
+    "anonymize_full": f"SELECT doc_id, true AS passed, len(list_distinct({_EMAIL_SQL})) AS emails FROM documents",
+    "anonymize_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
+    "coalesce_traces": """SELECT * FROM (VALUES (0, 'api', 1, 'ready'), (1, 'api', 4, 'CoinError: none left'), (2, 'job', 5, chr(9) || '/srv/till.go:8 +0x2'), (10, 'api', 1, 'closed'),
+  (11, 'job', 2, '  an indented line'), (12, 'api', 4, chr(9) || '... 2 more'), (16, 'api', 1, 'closed'), (18, 'job', 1, '  after a pause'), (19, 'job', 4, 'main.wait(...)'),
+  (23, 'job', 1, chr(9) || 'main.go:3')) AS t(seq, source, n_lines, last)""",
+    "parse_answers": """SELECT * FROM (VALUES (1, 'coins ran out', 'no refill', 'refill', ''), (2, 'late', 'fog', 'wait', ''), (3, 'cut off', '', '', ''), (4, 'just some words', '', '', ''),
+  (5, '', '', '', 'the model returned an empty response'), (6, '', 'salt', '', ''), (7, '', '', 'stir', '')) AS t(n, summary, likely_cause, suggestion, error)""",
 }

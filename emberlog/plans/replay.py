@@ -35,7 +35,7 @@ class Replay:
         return gate.flag_history(self.decided)
 
     def cards(self, n: int = 20) -> DataFrame:
-        return views.cards(self.decided, self.summaries(), self.history(), n)
+        return views.cards(self.decided, self.summaries(), n=n)
 
     def records(self, answers: DataFrame | None = None) -> DataFrame:
         return views.records(self.decided, answers, self.config.dry_run)

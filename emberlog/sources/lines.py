@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import re
 import struct
 import subprocess
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from emberlog.config import ContainerConfig
+from emberlog.config import Config, ContainerConfig, JournalConfig
 
 LINE = "seq bigint, time timestamp, source string, stream string, raw string, level string"
 
@@ -42,14 +45,37 @@ def without_ends(value: Column) -> Column:
     return F.regexp_replace(value, r"[\r\n]+$", "")
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Add `seq`, dense from 0, to rows with `_file`, `_start` and `_id`: files follow each other by name.
+
+    Spark packs the pieces of files into tasks by size. A piece is read by one task in order, so a
+    line's place is its piece's first place plus its distance from the piece's first id; only one
+    row for each piece is sorted.
+    """
+    pieces = rows.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    joined = rows.join(pieces, ["_file", "_start"])
+    return joined.withColumn("seq", F.col("_base") + F.col("_id") - F.col("_first")).drop("_file", "_start", "_id", "_first", "_base")
+
+
+def _text_rows(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("lineSep", "\n").text(path)
+    return in_file_order(
+        rows.select(
+            without_ends(F.col("value")).alias("raw"), F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"),
+        )
+    )
+
+
 def read_text(spark: SparkSession, path: str, source: str = "stdin", stream: str = "stdout", time: Column | None = None) -> DataFrame:
     """Newline text files; empty lines count, an unterminated last line too.
 
-    seq follows the order in a file; files of a folder follow each other by name.
+    seq follows the order in a file; files of a folder follow each other by name. Without `time`, which may
+    be an expression of raw and seq, all lines have the time of reading.
     """
-    rows = spark.read.option("lineSep", "\n").text(path).select(
-        without_ends(F.col("value")).alias("raw"), F.monotonically_increasing_id().alias("seq")
-    )
+    rows = _text_rows(spark, path)
     rows = rows.withColumn("time", time if time is not None else F.current_timestamp())
     return _line(rows, F.lit(source), F.lit(stream))
 
@@ -201,11 +227,22 @@ def journal_parts(line: pd.Series) -> pd.DataFrame:
     return out.astype({"micros": "Int64"})
 
 
-def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """Text exported as one JSON object for each entry."""
-    rows = spark.read.option("lineSep", "\n").text(path).select(
-        F.monotonically_increasing_id().alias("seq"), journal_parts(without_ends(F.col("value"))).alias("e")
-    )
+def journal_match(config: JournalConfig, entry: Column) -> Column:
+    """Whether an exported entry is followed: of one of the units, and at least as severe as the priority."""
+    found = F.lit(True)
+    if config.units:
+        names = {u for unit in config.units for u in (unit, f"{unit}.service")}
+        found = found & F.coalesce(F.get_json_object(entry, "$._SYSTEMD_UNIT").isin(*sorted(names)), F.lit(False))
+    if config.priority < 7:
+        level = F.get_json_object(entry, "$.PRIORITY").try_cast("int")
+        found = found & F.coalesce(level.between(0, config.priority), F.lit(False))
+    return found
+
+
+def read_journal(spark: SparkSession, path: str, config: JournalConfig = JournalConfig()) -> DataFrame:
+    """Text exported as one JSON object for each entry; those that the settings ask for."""
+    rows = _text_rows(spark, path).where(journal_match(config, F.col("raw")))
+    rows = rows.select("seq", journal_parts("raw").alias("e"))
     time = F.coalesce(F.timestamp_micros("e.micros"), F.current_timestamp())
     rows = rows.select("seq", time.alias("time"), "e.raw", "e.level", "e.stream", "e.source")
     return _line(rows, F.col("source"), F.col("stream"), F.col("level"))
@@ -220,6 +257,15 @@ def journal_error(code: int, stderr: bytes, cap: int = 4096) -> str:
     return text
 
 
+def system_journal_warning(folders: Iterable[str] = ("/var/log/journal", "/run/log/journal")) -> str:
+    """Says that the system's journal can't be read; silent if one file can, or when unsure."""
+    files = [file for folder in folders for file in Path(folder).glob("*/system*.journal")]
+    closed = [file for file in files if not os.access(file, os.R_OK)]
+    if not closed or len(closed) < len(files):
+        return ""
+    return "journald: the system journal can't be read, only this session's (is the user in the group systemd-journal?)"
+
+
 # ---- the driver's tables
 
 
@@ -264,8 +310,81 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def fan_in(sources: list[DataFrame]) -> DataFrame:
-    """All lines of all sources."""
-    first, *rest = sources
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    """All lines of all sources. Sources number their lines each for itself; the k-th of n gets seq * n + k."""
+    numbered = [df.withColumn("seq", F.col("seq") * len(sources) + k) for k, df in enumerate(sources)]
+    return functools.reduce(DataFrame.unionByName, numbered)
+
+
+# ---- selection
+
+
+@dataclass(frozen=True)
+class Text:
+    """Lines that stand in files, as those of the standard input landed by a shell."""
+
+    path: str
+    name: str = "stdin"
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return read_text(spark, self.path, self.name)
+
+
+@dataclass(frozen=True)
+class Process:
+    """Both pipes of a command, landed in a folder."""
+
+    argv: tuple[str, ...]
+    folder: str
+
+    @property
+    def name(self) -> str:
+        return process_name(list(self.argv))
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return read_process(spark, list(self.argv), self.folder)
+
+
+@dataclass(frozen=True)
+class Containers:
+    """Captures of container logs whose names the settings ask for."""
+
+    path: str
+    config: ContainerConfig
+    name: str = "docker"
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        rows, name = read_containers(spark, self.path), F.regexp_replace("source", "^docker:", "")
+        labels = F.create_map().cast("map<string, string>")
+        return rows.where(container_match(self.config, name, name, labels))
+
+
+@dataclass(frozen=True)
+class Journal:
+    """An exported journal."""
+
+    path: str
+    config: JournalConfig
+    name: str = "journald"
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return read_journal(spark, self.path, self.config)
+
+
+def select_sources(config: Config, stdin: str, containers: str = "", journal: str = "", landing: str = "") -> list[Source]:
+    """The sources that the settings ask for, over captured data at these paths; stdin only if there is no other.
+
+    A label can't be told from a capture, so labels select nothing here.
+    """
+    chosen: list[Source] = []
+    if config.command:
+        chosen.append(Process(config.command, landing))
+    wanted = config.containers
+    if wanted.all or wanted.ids or wanted.name or wanted.labels:
+        chosen.append(Containers(containers, wanted))
+    if config.journal.enabled or config.journal.units:
+        chosen.append(Journal(journal, config.journal))
+    return chosen or [Text(stdin)]
+
+
+def load_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
+    return fan_in([source.load(spark) for source in sources])

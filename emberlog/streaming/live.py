@@ -180,6 +180,17 @@ class Live:
         return self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.folder}/decided")
 
 
+def answered_flags(flags: DataFrame, answers: DataFrame, within: str = "10 minutes") -> DataFrame:
+    """Flags (hash, flagged) with the answer (hash, at, ...) that came within a time, over two streams.
+
+    A flag without one is given out once the watermark has passed it, with nulls.
+    """
+    one = flags.withWatermark("flagged", within)
+    two = answers.withColumnRenamed("hash", "_hash").withWatermark("at", within)
+    on = F.expr(f"hash = _hash and at >= flagged and at <= flagged + interval {within}")
+    return one.join(two, on, "left").drop("_hash")
+
+
 def template_counts(lines: DataFrame, watermark: str = "1 hour", window: str = "1 minute") -> DataFrame:
     """Counts of each template per window of event time, over a stream of lines."""
     named = normalize(lines).withWatermark("time", watermark)

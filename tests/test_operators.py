@@ -14,6 +14,7 @@ from emberlog.functions.answers import Answer, Request
 from emberlog.operators import explain, fold, gate, score, views
 from emberlog.plans.replay import Replay
 from emberlog.sources import lines as sources
+from emberlog.streaming import live as module_live
 from emberlog.streaming.live import Live
 
 T0 = datetime(2026, 7, 13, 12, tzinfo=timezone.utc)
@@ -184,6 +185,9 @@ def test_replay_cards_and_records(spark):
     text = views.plain_lines(gate.queued(run.decided, 64), run.scored).orderBy("seq", "part").collect()
     assert text[0]["text"] == "[app ERROR x1] disk <NUM> failed" and text[1]["text"].startswith("ESCALATED: disk <NUM> failed | reasons: novel")
     assert text[-1]["text"] == "[app - x1] ok <&> <NUM>"
+    answered_text = views.plain_lines(gate.queued(run.decided, 64), run.scored, answers=answered).where("part = 2").collect()
+    assert len(answered_text) == 2 and answered_text[0]["text"].startswith("EXPLAINED: disk <NUM> failed\n  what:  seen")
+    assert gate.stats(gate.queued(run.decided, 0)).first()["dropped"] == 2 and gate.stats(gate.queued(run.decided, 64)).first()["dropped"] == 0
 
 
 def test_answers_are_carried(spark):
@@ -283,6 +287,46 @@ def test_process_source(spark, tmp_path):
     assert sources.process_name([]) == "proc"
 
 
+def test_files_follow_by_name(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"a{k}\n" for k in range(5)))
+    (tmp_path / "b.log").write_text("".join(f"b{k} {'x' * 200}\n" for k in range(3000)))
+    (tmp_path / "c.log").write_text("c0\nc1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = [(r["seq"], r["raw"].split()[0]) for r in sources.read_text(spark, str(tmp_path)).orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate([f"a{k}" for k in range(5)] + [f"b{k}" for k in range(3000)] + ["c0", "c1"]))
+
+
+def test_sources_together_are_decided_once(spark, tmp_path):
+    for name in ("x", "y"):
+        (tmp_path / name).write_text("[ERROR] one failed\n[ERROR] two failed\n[ERROR] three failed\n")
+    both = sources.load_sources(spark, [sources.Text(str(tmp_path / name), name) for name in ("x", "y")])
+    assert both.select("seq").distinct().count() == 6
+    run = Replay.of(both, settings.Config(score=ScoreConfig(threshold=0.5)), folded=False)
+    assert run.decided.count() == 6 and gate.stats(run.decided).first()["escalated"] + gate.stats(run.decided).first()["cached"] == 6
+    counts = {r["pattern"]: r["hits"] for r in gate.cache_counts(run.decided).collect()}
+    assert counts == {"one failed": 2, "two failed": 2, "three failed": 2}
+
+
+def test_selection_of_sources(tmp_path):
+    conf = settings.load(["--journal-unit", "cron", "--docker-name", "^web", "--", "run", "it"], {})
+    chosen = sources.select_sources(conf, "in", "caps", "jrn", str(tmp_path))
+    assert [type(c) for c in chosen] == [sources.Process, sources.Containers, sources.Journal] and chosen[0].name == "proc:run"
+    assert sources.select_sources(settings.load(["--journal-priority", "3", "--docker-tail", "5"], {}), "in") == [sources.Text("in")]
+    assert sources.select_sources(settings.load(["--journal"], {}), "in", journal="j")[0].path == "j"
+
+
+def test_journal_filters(spark, tmp_path):
+    entry = lambda n, unit, p: json.dumps({"MESSAGE": str(n), "_SYSTEMD_UNIT": unit, "PRIORITY": p})
+    (tmp_path / "j").write_text("\n".join([entry(1, "cron.service", "3"), entry(2, "cron.service", "6"), entry(3, "web.service", "2"), entry(4, "init.scope", None), "text"]))
+    raws = lambda **k: sorted(r["raw"] for r in sources.read_journal(spark, str(tmp_path / "j"), settings.JournalConfig(**k)).collect())
+    assert raws(units=("cron", "init.scope")) == ["1", "2", "4"] and raws(priority=3) == ["1", "3"] and raws(units=("cron",), priority=4) == ["1"]
+    assert len(raws()) == 5
+    assert sources.system_journal_warning([str(tmp_path)]) == ""
+
+
 def test_container_source(spark, tmp_path):
     frame = lambda k, x: bytes([k, 0, 0, 0]) + len(x).to_bytes(4, "big") + x
     (tmp_path / "web.bin").write_bytes(frame(1, b"2024-03-04T05:06:07.123456789Z hel") + frame(2, b"err\n") + frame(1, b"lo\n"))
@@ -350,13 +394,27 @@ def test_stream_decides_as_batch(spark, tmp_path):
 def test_stream_from_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("[ERROR] a\nb\n")
-    stream = sources.stream_text(spark, str(tmp_path / "in")).withColumn("seq", F.monotonically_increasing_id())
+    stream = sources.stream_text(spark, str(tmp_path / "in"))  # Live numbers the lines of a batch
     live = Live(spark, str(tmp_path / "state"), settings.Config(score=ScoreConfig(threshold=0.5)))
     query = live.start(stream, availableNow=True)
     query.awaitTermination(60)
     assert [r["pattern"] for r in live.decided().collect()] == ["a"]
 
 
+def test_flags_join_answers_over_streams(spark, tmp_path):
+    for name in ("f", "a"):
+        (tmp_path / name).mkdir()
+    flags = [{"hash": "p", "flagged": "2026-01-01T00:00:00Z"}, {"hash": "q", "flagged": "2026-01-01T00:00:01Z"}, {"hash": "z", "flagged": "2026-01-01T05:00:00Z"}]
+    (tmp_path / "f" / "1.json").write_text("\n".join(map(json.dumps, flags)))
+    (tmp_path / "a" / "1.json").write_text("\n".join(json.dumps({"hash": h, "at": t, "summary": s}) for h, t, s in (("p", "2026-01-01T00:05:00Z", "yes"), ("q", "2026-01-01T03:00:00Z", "late"), ("z", "2026-01-01T05:00:09Z", "z"))))
+    read = lambda name, schema: spark.readStream.schema(schema).json(str(tmp_path / name))
+    joined = module_live.answered_flags(read("f", "hash string, flagged timestamp"), read("a", "hash string, at timestamp, summary string"))
+    query = joined.writeStream.format("memory").queryName("answered").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r["hash"], r["summary"]) for r in spark.table("answered").collect()}
+    assert got >= {("p", "yes"), ("z", "z")} and ("q", "late") not in got
+
+
 def test_fold_group():
     from emberlog.streaming import live as module
 
