@@ -536,7 +536,7 @@ _RATE = ScoreConfig(threshold=0.6, rate_per_min=5, cache_ttl=0.0)
 ORACLE_SQL: dict[str, str] = {
     "template_summary": _summary(),
     "template_topk": f"SELECT hash, count FROM ({_summary()}) ORDER BY count DESC, last_seen DESC, hash LIMIT 10",
-    "template_hash": f"SELECT DISTINCT md5(p) AS pattern_md5, {masking.duckdb_fnv('p')} AS hash FROM (SELECT {masking.duckdb('line')} AS p FROM (SELECT string_split(coalesce(text, ''), chr(10))[1] AS line FROM documents))",
+    "template_hash": f"SELECT DISTINCT md5(p) AS pattern_md5, {masking.duckdb_fnv('p')} AS hash FROM (SELECT {masking.duckdb('line')} AS p FROM (SELECT DISTINCT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents))",
     "mask_documents": f"SELECT doc_id, md5({masking.duckdb('text')}) AS pattern_md5 FROM documents",
     "mask_conversations": f"SELECT conv_id, turn, md5({masking.duckdb('text')}) AS pattern_md5 FROM conversations",
     "mask_pages": f"SELECT page_id, md5({masking.duckdb('html')}) AS pattern_md5 FROM pages",
