@@ -12,10 +12,11 @@ element around it. Scripts, styles and comments in the markup are no text; chara
 references are decoded; white space inside a block becomes one space. Blocks are joined in page order by an empty
 line. Nothing else is dropped or shortened.
 
-The work is a map over rows with one page in memory; the model is a few hundred numbers.
+The work is a map over rows with one page in memory, in time linear in the page; the model is a few hundred numbers.
 
 Cases: a null or empty page, and one without an article, has empty text. Unclosed, stray and
-misnested tags follow the usual rules for paragraphs, list items and table cells. Repeated rows
+misnested tags follow the usual rules for paragraphs, list items and table cells. A tag with a quote that isn't
+closed ends at its next '>'. Repeated rows
 are treated each for itself; other columns pass through where the caller keeps them.
 """
 
@@ -34,7 +35,8 @@ from emberlog.llm.html_pages import labelled_pages
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",  # a quote that isn't closed
     re.S,
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -49,6 +51,8 @@ BLOCK = frozenset(
     "details summary dialog hr center option".split()
 )
 CLOSES_P = BLOCK - {"label", "button", "html", "head", "body", "title", "option", "td", "th", "tr", "caption"}
+#: A paragraph outside the innermost of these stays open.
+P_BORDERS = ("td", "th", "li", "div", "article", "section", "table")
 #: An opening tag ends an open element of these, looked for up to the given borders.
 ENDS = {
     "li": ({"li"}, {"ul", "ol"}),
@@ -120,10 +124,22 @@ class Page:
     def _parse(self, source: str) -> None:
         root = self._add("html", "", -1)
         stack: list[tuple[str, int]] = [("html", root)]  # every open element with its block node
+        where: dict[str, list[int]] = {}  # places of open elements by tag, so nothing searches the stack
+        blocks: list[int] = []
         texts: list[str] = []
-        node, links = root, 0
+        node = root
+        anchors = where.setdefault("a", [])
         lower = None
 
+        def last(tags) -> int:
+            return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
+        def cut(k: int) -> None:
+            while len(stack) > k:
+                where[stack[-1][0]].pop()
+                if stack.pop()[0] in BLOCK:
+                    blocks.pop()
+
         def flush() -> None:
             if texts:
                 text = " ".join(html.unescape("".join(texts)).split())
@@ -139,29 +155,23 @@ class Page:
                 continue
             if a > at:
                 texts.append(source[at:a])
-                if links:
+                if anchors:
                     self.linked[node] += a - at
             at = m.end()
-            tag = m[2]
+            closes, tag, attrs = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
             if not tag:
                 continue
             tag = tag.lower()
-            if m[1]:
-                if tag == "p" and not any(t == "p" for t, _ in stack):
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if any(t in BLOCK for t, _ in stack[k:]):
-                            flush()
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        node = stack[-1][1]
-                        break
-                    if tag not in BLOCK and stack[k][0] in BLOCK:
-                        break  # an inline end tag closes nothing outside its block
+            if closes:
+                k = last((tag,))
+                if k and (tag in BLOCK or not blocks or blocks[-1] < k):  # an inline end tag closes nothing outside its block
+                    if blocks and blocks[-1] >= k:
+                        flush()
+                    cut(k)
+                    node = stack[-1][1]
                 continue
             if tag in RAW:
-                if not m[3].endswith("/"):
+                if not attrs.endswith("/"):
                     if lower is None:
                         lower = source.lower()
                     end = lower.find("</" + tag, at)
@@ -177,28 +187,18 @@ class Page:
                 continue
             if tag in BLOCK:
                 flush()
-                if tag in CLOSES_P:
-                    self._close(stack, {"p"}, {"td", "th", "li", "div", "article", "section", "table"} if tag != "p" else set())
-                if tag in ENDS:
-                    self._close(stack, *ENDS[tag])
-                links = sum(t == "a" for t, _ in stack)
-                node = self._add(tag, m[3], stack[-1][1])
-            elif tag == "a":
-                links += 1
+                if tag in CLOSES_P and (k := last(("p",))) > last(P_BORDERS if tag != "p" else ()):
+                    cut(k)
+                if tag in ENDS and (k := last(ENDS[tag][0])) > last(ENDS[tag][1]):
+                    cut(k)
+                node = self._add(tag, attrs, stack[-1][1])
+                blocks.append(len(stack))
+            where.setdefault(tag, []).append(len(stack))
             stack.append((tag, node))
         if at < len(source):
             texts.append(source[at:])
         flush()
 
-    @staticmethod
-    def _close(stack: list[tuple[str, int]], ends: set[str], borders: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in ends:
-                del stack[k:]
-                return
-            if stack[k][0] in borders:
-                return
-
     def features(self) -> list[list[str]]:
         children = [0] * len(self.tag)
         for p in self.parent[1:]:

@@ -14,17 +14,18 @@ Two kinds of model share the search and differ in what makes a way the best:
   merges inside a final piece never depend on what lies outside it. So the search gives
   the ids that merging the whole text would give, one character at a time.
 
-No piece of these vocabularies holds a space after another character, nor a line feed, so
-paths always converge there. Spans between such boundaries repeat in a corpus, and
-each worker remembers the ids of short ones, up to CACHE spans.
+Where no piece of a vocabulary holds a space after another character, nor a line feed with others, which is checked
+when a model is made, all paths converge there, and the encoder commits at every such boundary. Spans between
+boundaries repeat in a corpus, so each worker remembers the ids of those of up to SHORT characters, at most CACHE of them; longer
+ones, and all of a text if the check fails, run through the window above.
 
 Characters that are no piece become the pieces of their UTF-8 bytes. Spaces become U+2581 and
 one is put in front, as the model prescribes; other characters stay as they are.
 Decoding reverses both and joins byte pieces. Text survives the round trip exactly unless
 it holds U+2581 itself, which decodes to a space.
 
-Cases: null and empty texts have no ids and decode to ''. A text of any length takes memory
-for its ids and one window. Rows are independent: order, repeats, other columns don't matter.
+Cases: null and empty texts have no ids and decode to ''. A text of any length is read CHUNK characters
+at a time and takes memory for its ids, a chunk and one window. Rows are independent: order, repeats, other columns don't matter.
 """
 
 from __future__ import annotations
@@ -41,8 +42,11 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE = 400_000
 SHORT = 96
+CHUNK = 16_384
 
 _SPANS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+_BORDER, _BARE = re.compile(f"[{SPACE}\n]"), re.compile(f"[^{SPACE}\n]")
+_ACROSS = re.compile(f"[^{SPACE}]{SPACE}|.\n|\n.", re.S)
 _NEVER = float("inf")
 
 
@@ -57,6 +61,8 @@ class Model:
         self.pieces = [p for p, _ in pieces]
         self.scores = [s for _, s in pieces]
         self.longest = max(map(len, self.ids))
+        #: Whether paths converge before every space that follows another character, and around line feeds.
+        self.parted = not any(_ACROSS.search(p) for p in self.ids)
         self.unknown = min(self.scores) - 10
         self.rank = [-s for s in self.scores]
         self.shared_ranks = {r for r, n in _counted(self.rank[i] for i in self.ids.values()) if n > 1}
@@ -240,9 +246,11 @@ class Model:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<i4")
-        get, span = self._spans.get, self.span
-        spans = _SPANS.findall(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(b"".join([get(s) or span(s) for s in spans]), "<i4")
+        encoder, out = Encoder(self), bytearray()
+        for at in range(0, len(text), CHUNK):
+            encoder.feed(text[at : at + CHUNK], out)
+        encoder.finish(out)
+        return np.frombuffer(out, "<i4")
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         out = b"".join(map(self.raw.__getitem__, ids.tolist()))
@@ -259,6 +267,45 @@ def _counted(values: Iterable[float]) -> Iterable[tuple[float, int]]:
     return seen.items()
 
 
+class Encoder:
+    """Ids of one text that arrives in chunks: a span at a time, or by the window where a span is long."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.rest = SPACE
+        self.stream: Stream | None = None if model.parted else Stream(model)
+
+    def _stream(self, text: str, out: bytearray) -> None:
+        out += np.array(self.stream.feed(text), "<i4").tobytes()
+
+    def feed(self, chunk: str, out: bytearray) -> None:
+        """Add a chunk; ids that are final are appended to out."""
+        text = self.rest + chunk.replace(" ", SPACE)
+        self.rest = ""
+        if self.stream:
+            border = _BORDER.search(text) if self.model.parted else None
+            self._stream(text[: border.start()] if border else text, out)
+            if not border:
+                return
+            out += np.array(self.stream.finish(), "<i4").tobytes()
+            self.stream, text = None, text[border.start() :]
+        spans = _SPANS.findall(text)
+        self.rest = spans.pop()  # it may go on
+        get, span = self.model._spans.get, self.model.span
+        out += b"".join([get(s) or span(s) for s in spans])
+        if len(self.rest) > SHORT and _BARE.search(self.rest):
+            self.stream = Stream(self.model)
+            self._stream(self.rest, out)
+            self.rest = ""
+
+    def finish(self, out: bytearray) -> None:
+        if self.stream:
+            self._stream(self.rest, out)
+            out += np.array(self.stream.finish(), "<i4").tobytes()
+        elif self.rest:
+            out += self.model.span(self.rest)
+
+
 class Stream:
     """The search over one text that arrives in pieces.
 

@@ -1,8 +1,8 @@
 """Token ids in training order, as fixed-stride binary shards.
 
 Each document becomes token ids, an end mark, and sequences of `seq_len` ids; the last one
-is padded. The number of a sequence is its document's place in the range of ids times the
-most parts a document can have, plus its part. A keyed Feistel permutation of all such numbers, with
+is padded. The number of a sequence is made of its document's place in the range of ids, COPIES values of the text's
+hash and its part, so rows that share a doc_id, or have none, have numbers of their own as far as their texts differ. A keyed Feistel permutation of all such numbers, with
 cycle-walking to stay in range, is the training order: the sequence with the k-th
 smallest permuted number has slot k. Nothing is sorted as a whole and no list of the order
 exists; permuted numbers are spread evenly, so equal ranges of them are the shards.
@@ -23,7 +23,7 @@ records whatever the corpus or a document's size.
 Files go to the folder all executors share, through pyarrow's file systems (local, HDFS, S3).
 
 Cases: null and empty texts give one sequence with the end mark alone. Rows that repeat a
-doc_id follow each other in the order of their contents. A null doc_id is numbered after
+doc_id lie apart, unless their texts are the same too: then they follow each other. Null doc_ids are numbered after
 the others and read back as null. An empty table gives no shard. Ids so wide apart that their
 numbers pass 62 bits are numbered densely first, which adds a shuffle of the texts.
 """
@@ -53,6 +53,8 @@ SEQ_LEN = 256
 SHARD_SLOTS = 16_384
 CACHE = 300_000
 HEADER = "<qII"
+#: Numbers for texts of one doc_id, and of the rows without one.
+COPIES = 256
 #: What stands for a null doc_id in a record.
 NO_DOC = -(2**63)
 
@@ -146,7 +148,7 @@ def slots(numbers: np.ndarray, size: int, key: int, rounds: int = 6, inverse: bo
 
 
 def _sequences(
-    batches: Iterator[pa.RecordBatch], path: str, seq_len: int, lowest: int, parts: int, size: int, key: int, shards: int
+    batches: Iterator[pa.RecordBatch], path: str, seq_len: int, parts: int, size: int, key: int, shards: int
 ) -> Iterator[pa.RecordBatch]:
     """(number, doc_id, text) rows -> one row for each sequence, with its shard and permuted number."""
     t = tokenizer(path)
@@ -160,7 +162,7 @@ def _sequences(
                 raw = (t.encode(text) if text else b"") + end
                 for k in range(-(-len(raw) // stride)):
                     piece = raw[stride * k : stride * (k + 1)]
-                    number.append((base - lowest) * parts + k)
+                    number.append(base * parts + k)
                     docs.append(doc)
                     place.append(k)
                     n.append(len(piece) // 2)
@@ -286,17 +288,18 @@ def write_shards(
         return Shards(folder, empty, seq_len)
     parts = longest // seq_len + 1  # a token has at least one byte, and the end mark is one more
     lowest, highest = (0, 0) if lowest is None else (lowest, highest)
-    if (highest - lowest + 2) * parts < 2**62:
-        based = texts.select(F.coalesce("doc_id", F.lit(highest + 1)).alias("base"), "doc_id", "text")
+    if (highest - lowest + 2) * parts * COPIES < 2**62:
+        based = texts.select((F.coalesce("doc_id", F.lit(highest + 1)) - F.lit(lowest)).alias("base"), "doc_id", "text")
+        ids = highest - lowest + 2
     else:
-        based, n = _numbered(texts, scratch)
-        lowest, highest = 0, n
-    size = (highest - lowest + 2) * parts
+        based, ids = _numbered(texts, scratch)
+    copy = F.pmod(F.xxhash64("text"), F.lit(COPIES))
+    based = based.select((F.col("base") * COPIES + copy).alias("base"), "doc_id", "text")
+    size = ids * COPIES * parts
     shards = max(1, -(-int(likely) // shard_slots))
-    low = lowest
     written = scratch.put(
         based.mapInArrow(
-            lambda it: _sequences(it, path, seq_len, low, parts, size, key, shards),
+            lambda it: _sequences(it, path, seq_len, parts, size, key, shards),
             "shard long, place long, doc_id long, part long, n_tokens long, ids binary",
         )
         .groupBy("shard").applyInPandas(
