@@ -83,6 +83,9 @@ def test_shards_round_trip(spark, edges, empty):
     again = token_shards.write_shards(df.repartition(3), shard_slots=64)
     assert [r["crc32"] for r in again.manifest.orderBy("shard").collect()] == [r["crc32"] for r in made.manifest.orderBy("shard").collect()]
     assert token_shards.write_shards(empty).read().count() == 0
+    same = spark.createDataFrame([(None, f"text {k}") for k in range(400)] + [(7, f"other {k}") for k in range(400)], "doc_id long, text string")
+    spread = token_shards.write_shards(same, shard_slots=64).manifest.agg(F.count("*"), F.max("records")).first()
+    assert spread[0] > 8 and spread[1] < 200  # rows without an id, or of one id, don't meet in one shard
     wide = token_shards.write_shards(spark.createDataFrame([(-(2**62), "a"), (2**62, "b"), (None, "c")], "doc_id long, text string"))
     assert {r["doc_id"] for r in wide.read().collect()} == {-(2**62), 2**62, None}
 
@@ -136,6 +139,24 @@ def test_extraction(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_tags_with_open_quotes():
+    model = html_extract.default_model()
+    assert model.extract('<article><p>One two three four.</p><p class="x>hello') == "One two three four.\n\nhello"
+    assert model.extract("<article><p>One two.</p><p title='it>Three <b>four</b>.</p></article>") == "One two.\n\nThree four."
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    for bit in ("<b><div>x</div>", "<div>", "<p><i>y", "</i>", "<li><a>z", "<p class=\"x>w", "<td><p>", "<p title='>"):
+        took = []
+        for n in (4_000, 32_000):
+            began = time.time()
+            html_extract.Page(bit * n)
+            took.append(time.time() - began)
+        assert took[1] < 24 * took[0] + 0.5, (bit, took)
+
+
 def test_all_pages(spark):
     got = {r["page_id"]: r["text"] for r in queries.op2_html_extraction(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
@@ -388,6 +409,27 @@ def test_ids_equal_the_library(spark, edges, empty):
     assert spm.encode(empty).count() == 0
 
 
+def test_chunks_and_unparted_vocabularies(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    rng = random.Random(17)
+    m = spm.model()
+    assert m.parted
+    bits = [" ", "   ", "\n", "the", "ing", "é", "日", "x" * 120, "ab-" * 60, " " * 130, "\t", "word "]
+    cases = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [" ", "  ", "\n\n", "a" * 5000 + " b"]
+    for chunk in (1, 7, 64, 16_384):
+        monkeypatch.setattr(spm, "CHUNK", chunk)
+        for text in cases:
+            assert m.encode(text).tolist() == sp.encode(text), (chunk, text)
+    whole = spm.Model.load()
+    whole.parted = False  # as for a vocabulary with pieces over borders: the window sees all of a text
+    for text in cases[:40]:
+        assert whole.encode(text).tolist() == sp.encode(text)
+    over = spm.Model([("<unk>", 0.0)] + [(f"<0x{b:02X}>", -20.0) for b in range(256)] + [(p, -2.0) for p in ("a", "b", spm.SPACE, "a" + spm.SPACE + "b")], list(range(1, 257)), "unigram", [0])
+    assert not over.parted and [over.pieces[i] for i in over.encode("a b")] == [spm.SPACE, "a" + spm.SPACE + "b"]
+
+
 def test_stream_commits_early():
     rng = random.Random(8)
     m = spm.model()
