@@ -6,21 +6,23 @@ centroids. It probes cells in the order of the sum of both squared distances (th
 multi-sequence order) until the target recall, and what lies in a probed cell is compared
 with it by cosine in double precision.
 
-Fitted on a bounded sample (documented limits below), applied to every vector:
+Fitted on a bounded sample (those of the smallest keyed hash), applied to every vector:
 
-* the codebooks, by k-means on at most SAMPLE vectors and 64 for each centroid;
+* the codebooks, by k-means on at most SAMPLE vectors or 64 for each centroid;
 * the number of probes: sample vectors get a partner at exactly the threshold in a random
-  direction, the hardest place for a link, and the probes are the cells that reach TARGET
-  of the partners' cells. As either end of a link may find it, the recall of links is higher.
+  direction, the hardest place for a link. Either end of a link finds it, so the probes are the cells
+  that reach TARGET of the links from the nearer end; their number has no cap.
 
 K grows with the square root of the rows, so a cell keeps about CELL_ROWS of them at every size.
-A crowded cell is cut into blocks of at most BLOCK stored and BLOCK probing vectors, and a task
-holds one pair of blocks. A block pair returns counts and local components, never pairs: at
-most one row for each of its vectors.
+Vectors with all components equal are one class, which goes through the index once. Cells of one left
+centroid are one group: a vector goes once to each group that it probes, with the list of its cells there. A crowded group
+is cut into blocks of at most BLOCK stored vectors, and the probing ones pass by as a stream. A batch returns
+counts and local components, never pairs: at most one row for each of its vectors.
 
 Cases: null, empty or zero vectors and those with null or non-finite components link with
-nothing. Vectors of different lengths don't link. Rows that repeat a vec_id are one
-vertex, with the smallest of their vectors; each gets the vertex's result. Other
+nothing, as do rows without a vec_id, which have no component and are kept. Vectors of different lengths don't link; a length that few
+vectors have is one cell. A vector is a distinct pair of vec_id and components: n_links counts the others linked with a
+row's vector. Rows that repeat a vec_id with other components are vectors of their own and one component. Other
 columns, labels too, are ignored.
 """
 
@@ -31,26 +33,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from emberlog.llm.common import Scratch
+from emberlog.llm.common import Scratch, join_frequent, sized
 from emberlog.llm.components import connected_components
 
 SAMPLE = 16_384
-CELL_ROWS = 48
-MOST_CENTROIDS = 4096
+CELL_ROWS = 200
 TARGET = 0.99
-MOST_PROBES = 256
-BLOCK = 1024
+#: Vectors of one length without an index.
+FEW = 2048
+BLOCK = 16_384
+#: Comparisons that are held at a time.
+HELD = 4_000_000
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = _square_distances(x, centres).argmin(axis=1)
-        total = np.zeros_like(centres)
-        np.add.at(total, near, x)
+        near = np.concatenate([_square_distances(x[at : at + 4096], centres).argmin(axis=1) for at in range(0, len(x), 4096)])
+        order = np.argsort(near, kind="stable")
+        starts = np.searchsorted(near[order], np.arange(k))
         n = np.bincount(near, minlength=k)
+        total = np.zeros_like(centres)
+        total[n > 0] = np.add.reduceat(x[order], starts[n > 0], axis=0)
         centres[n > 0] = total[n > 0] / n[n > 0, None]
     return centres
 
@@ -59,18 +66,24 @@ def _square_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None]
 
 
+def _rank(cells: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """The place of a home among each row's cells; their number if it isn't among them."""
+    same = cells == home[:, None]
+    return np.where(same.any(axis=1), same.argmax(axis=1), cells.shape[1])
+
+
 class MultiIndex:
-    """Two codebooks and the probes that reach the target recall."""
+    """Two codebooks, the probes that reach the target recall, and the recall on the sample's partners."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, probes: int = 1):
-        self.left, self.right, self.probes = left, right, probes
+        self.left, self.right, self.probes, self.recall = left, right, probes, 0.0
 
     @classmethod
     def fit(cls, sample: np.ndarray, n: int, threshold: float, target: float = TARGET, seed: int = 5) -> MultiIndex:
         rng = np.random.default_rng(seed)
         u = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         half = u.shape[1] // 2
-        k = max(2, min(MOST_CENTROIDS, len(u), math.ceil(math.sqrt(n / CELL_ROWS))))
+        k = max(2, min(len(u), math.ceil(math.sqrt(n / CELL_ROWS))))
         index = cls(_kmeans(u[:, :half], k, rng), _kmeans(u[:, half:], k, rng))
         v = u[rng.choice(len(u), min(len(u), 2048), replace=False)]
         away = rng.standard_normal(v.shape)
@@ -78,12 +91,17 @@ class MultiIndex:
         norm = np.linalg.norm(away, axis=1, keepdims=True)
         away = np.divide(away, norm, out=np.zeros_like(away), where=norm > 0)
         partner = threshold * v + math.sqrt(max(0.0, 1 - threshold * threshold)) * away
-        index.probes = min(MOST_PROBES, k * k)
-        home = index.cells(partner)[:, 0]
-        rank = (index.cells(v) == home[:, None]).argmax(axis=1)
-        found = index.cells(v)[np.arange(len(v)), rank] == home
-        rank = np.where(found, rank, index.probes - 1)
-        index.probes = int(np.quantile(rank, target, method="higher")) + 1
+        limit = 64
+        while True:
+            index.probes = min(limit, k * k)
+            one, two = index.cells(v), index.cells(partner)
+            either = np.minimum(_rank(one, two[:, 0]), _rank(two, one[:, 0]))
+            most = int(np.quantile(either, target, method="higher"))
+            if most < index.probes or limit >= k * k:
+                break
+            limit *= 4
+        index.probes = min(most, k * k - 1) + 1
+        index.recall = float((either < index.probes).mean())
         return index
 
     def cells(self, u: np.ndarray) -> np.ndarray:
@@ -115,36 +133,67 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, v, f1, f2): the components as bytes, null if they can't link, and their digests."""
     for batch in batches:
-        ids, vectors = [], []
-        for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if not v.is_valid or not len(v.values) or v.values.null_count:
-                continue
-            x = v.values.to_numpy(zero_copy_only=False).astype("<f4")
-            if np.isfinite(x).all() and x.any():
-                ids.append(i)
-                vectors.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary())], ["vec_id", "v"])
-
-
-def _probed(batches: Iterator[pa.RecordBatch], index: MultiIndex) -> Iterator[pa.RecordBatch]:
+        vectors = []
+        for v in batch.column(1):
+            x = None
+            if v.is_valid and len(v.values) and not v.values.null_count:
+                x = v.values.to_numpy(zero_copy_only=False).astype("<f4") + np.float32(0)  # one zero
+                x = x if np.isfinite(x).all() and x.any() else None
+            vectors.append(None if x is None else x.tobytes())
+        codes = np.array([(0, 0) if v is None else (xxhash.xxh64_intdigest(v, 1), xxhash.xxh3_64_intdigest(v, 2)) for v in vectors], np.uint64)
+        codes = codes.reshape(-1, 2).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(vectors, pa.binary()), pa.array(codes[:, 0]), pa.array(codes[:, 1])], ["vec_id", "v", "f1", "f2"]
+        )
+
+
+_PROBED = "cid long, size long, v binary, home long, groups array<long>, cells array<array<long>>"
+
+
+def _probed(batches: Iterator[pa.RecordBatch], indexes: dict[int, MultiIndex], first: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Each vector with its home cell and its cells by group. Cells are numbered over all lengths."""
     for batch in batches:
-        for at in range(0, len(batch), 1024):
-            part = batch.slice(at, 1024)
-            cells = index.cells(_units(_matrix(part.column(1))))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(cells.tolist(), pa.list_(pa.int64()))], ["vec_id", "v", "cells"]
-            )
+        lengths = np.array([len(v.as_buffer()) for v in batch.column(2)], np.int64)
+        for width in np.unique(lengths).tolist():
+            part = batch.filter(pa.array(lengths == width))
+            for at in range(0, len(part), 1024):
+                rows = part.slice(at, 1024)
+                if width in indexes:
+                    index = indexes[width]
+                    x, k = _units(_matrix(rows.column(2))), len(index.left)
+                    x = np.repeat(x, 2, axis=1) if x.shape[1] < 2 else x
+                    cells = index.cells(x) + first[width]
+                    groups, lists = [], []
+                    for row in cells.tolist():
+                        of: dict[int, list[int]] = {}
+                        for c in row:
+                            of.setdefault((c - first[width]) // k * k + first[width], []).append(c)
+                        groups.append(list(of))
+                        lists.append(list(of.values()))
+                    home = cells[:, 0]
+                else:  # one cell for all of a length
+                    home = np.full(len(rows), -width)
+                    groups, lists = [[-width]] * len(rows), [[[-width]]] * len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column(0), rows.column(1), rows.column(2), pa.array(home),
+                        pa.array(groups, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.list_(pa.int64()))),
+                    ],
+                    ["cid", "size", "v", "home", "groups", "cells"],
+                )
 
 
 def link_block(
-    q_ids: np.ndarray, q: np.ndarray, q_home: np.ndarray, s_ids: np.ndarray, s: np.ndarray, s_cells: np.ndarray, threshold: float
+    q_ids: np.ndarray, q: np.ndarray, q_home: np.ndarray, s_ids: np.ndarray, s: np.ndarray, s_cells: np.ndarray, threshold: float,
+    q_size: np.ndarray | None = None, s_size: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links between probing and stored vectors: (ids, counts, local component labels).
 
     A link counts for its stored end only if that end doesn't probe the other's cell, where
-    it would count again.
+    it would count again. It counts as often as the other end's class has vectors.
     """
     linked = (q @ s.T >= threshold) & (q_ids[:, None] != s_ids[None])
     qi, si = np.nonzero(linked)
@@ -152,8 +201,8 @@ def link_block(
     for at in range(0, len(qi), 65_536):
         part = slice(at, at + 65_536)
         again[part] = (s_cells[si[part]] == q_home[qi[part], None]).any(axis=1)
-    q_n = np.bincount(qi, minlength=len(q_ids))
-    s_n = np.bincount(si[~again], minlength=len(s_ids))
+    q_n = np.bincount(qi, None if s_size is None else s_size[si], len(q_ids)).astype(np.int64)
+    s_n = np.bincount(si[~again], None if q_size is None else q_size[qi[~again]], len(s_ids)).astype(np.int64)
     most = np.iinfo(np.int64).max
     ql, sl = q_ids.copy(), s_ids.copy()
     while len(qi):
@@ -167,92 +216,147 @@ def link_block(
     return ids[keep], n[keep], labels[keep]
 
 
-def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Blocks arrive sorted by their key; a block pair is held, compared and let go."""
-    held: list[pa.RecordBatch] = []
+class _Group:
+    """The stored vectors of a block, by cell; probing ones are compared batch by batch."""
+
+    def __init__(self, rows: list[pa.RecordBatch], threshold: float):
+        table = pa.Table.from_batches(rows)
+        home = table.column("home").to_numpy()
+        order = np.argsort(home, kind="stable")
+        self.threshold, self.home = threshold, home[order]
+        self.ids, self.size = (table.column(c).to_numpy()[order] for c in ("cid", "size"))
+        self.x = _units(_matrix(table.column("v").combine_chunks()))[order]
+        cells = table.column("all").to_pylist()
+        self.cells = np.full((len(cells), max(map(len, cells))), np.iinfo(np.int64).min)
+        for row, k in enumerate(order.tolist()):
+            self.cells[row, : len(cells[k])] = cells[k]
+
+    def probe(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists = batch.column(batch.schema.get_field_index("mine"))
+        cell = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+        x = _units(_matrix(batch.column(batch.schema.get_field_index("v"))))
+        ids, size, home = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("cid", "size", "home"))
+        order = np.argsort(cell, kind="stable")
+        cell, row = cell[order], row[order]
+        starts = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
+        for at, end in zip(starts[:-1], starts[1:]):
+            lo, hi = np.searchsorted(self.home, [cell[at], cell[at] + 1])
+            step = max(1, HELD // max(1, min(hi - lo, BLOCK)))
+            for s in range(lo, hi, BLOCK):
+                stored = slice(s, min(s + BLOCK, hi))
+                for k in range(at, end, step):
+                    own = row[k : min(k + step, end)]
+                    got = link_block(
+                        ids[own], x[own], home[own], self.ids[stored], self.x[stored], self.cells[stored], self.threshold, size[own], self.size[stored]
+                    )
+                    if len(got[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], ["cid", "n", "label"])
+
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        stored = table.column("stored").to_numpy()
-        if stored.any() and not stored.all():
-            ids, x = table.column("vec_id").to_numpy(), _units(_matrix(table.column("v")))
-            cells = np.array(table.column("cells").to_pylist(), np.int64)
-            got = link_block(ids[~stored], x[~stored], cells[~stored, 0], ids[stored], x[stored], cells[stored], threshold)
-            if len(got[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], ["vec_id", "n", "label"])
+_KEYS = ("g", "s", "q")
 
+
+def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by _KEYS, in each block the stored ones first; one block of those is held."""
+    held: list[pa.RecordBatch] = []
+    group: _Group | None = None
     last = None
     for batch in batches:
         if not len(batch):
             continue
-        keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        keys = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
         starts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
         for at, end in zip(starts[:-1], starts[1:]):
-            if held and tuple(keys[at]) != last:
-                yield from flush()
-                held = []
-            last = tuple(keys[at])
-            held.append(batch.slice(at, end - at))
-    if held:
-        yield from flush()
+            now, probing = tuple(keys[at, :3]), keys[at, 3]
+            if now != last:
+                held, group, last = [], None, now
+            part = batch.slice(at, end - at)
+            if not probing:
+                held.append(part)
+            elif held or group:
+                if group is None:
+                    group, held = _Group(held, threshold), []
+                yield from group.probe(part)
 
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of `vectors`."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "vectors")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("e"))
-    valid = scratch.put(
-        rows.where("e is not null").mapInArrow(_valid, "vec_id long, v binary")
-        .groupBy("vec_id").agg(F.min("v").alias("v")),
-        "valid",
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("e"))
+    coded = source.mapInArrow(_coded, "vec_id long, v binary, f1 long, f2 long")
+    of = ["f1", "f2"]
+    narrow = scratch.put(coded.select("vec_id", *of, F.coalesce(F.length("v"), F.lit(0)).alias("width")), "narrow")
+    rows = narrow.count()
+    linkable = narrow.where("width > 0 and vec_id is not null").select("vec_id", *of, "width").distinct()
+    classes = linkable.groupBy(*of, "width").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+    classes = scratch.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    found = _links(coded, classes, threshold, scratch)
+
+    label = classes.select(F.col("cid").alias("label"), F.col("rep").alias("b"))
+    ends = found.where("cid <> label").join(label, "label").join(classes.select("cid", F.col("rep").alias("a")), "cid").select("a", "b")
+    # Classes that share a vec_id are linked by it.
+    shared = linkable.groupBy("vec_id").agg(F.count("*").alias("k")).where("k > 1").select("vec_id")
+    same = linkable.join(shared, "vec_id").join(classes.select(*of, "rep"), of).select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))
+    comps = connected_components(ends.union(same), scratch).toDF("rep", "c")
+    counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
+    done = classes.join(counts, "cid", "left").join(comps, "rep", "left").select(
+        *of, "size", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.coalesce("c", "rep").alias("component_id")
     )
-    found = None
-    for width, n in valid.groupBy(F.length("v").alias("width")).count().collect():
-        part = valid.where(F.length("v") == width)
-        pairs = _links(part, n, threshold, scratch)
-        found = pairs if found is None else found.union(pairs)
-    if found is None:
-        return rows.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-        )
-    found = scratch.put(found, "found")
-    comps = connected_components(found.where("vec_id <> label").select(F.col("vec_id").alias("a"), F.col("label").alias("b")), scratch)
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    return (
-        rows.select("vec_id").join(counts, "vec_id", "left").join(comps.toDF("vec_id", "c"), "vec_id", "left")
-        .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    done = scratch.put(done, "classed")
+    linked = join_frequent(narrow.where("width > 0 and vec_id is not null").select("vec_id", *of), done, of, rows, "size")
+    linked = linked.select("vec_id", "n_links", "component_id")
+    rest = narrow.where("width = 0 or vec_id is null").select("vec_id")
+    other = scratch.put(linked.join(rest, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("component_id").alias("own")), "other")
+    rest = rest.join(sized(other, other.count()), "vec_id", "left").select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("own", "vec_id").alias("component_id")
     )
-
-
-def _links(valid: DataFrame, n: int, threshold: float, scratch: Scratch) -> DataFrame:
-    """(vec_id, n, label) from all block pairs of vectors of one length."""
-    k = max(2, min(MOST_CENTROIDS, math.ceil(math.sqrt(n / CELL_ROWS))))
-    size = max(SAMPLE, 64 * k)
-    share = min(1.0, 1.2 * size / n)
-    chosen = valid.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sample = np.array([np.frombuffer(r[0], "<f4") for r in chosen.select("v").limit(size).collect()], np.float64)
-    if len(sample[0]) < 2:
-        sample = np.repeat(sample, 2, axis=1)  # a vector of one component has no halves
-        valid = valid.withColumn("v", F.concat("v", "v"))
-    index = MultiIndex.fit(sample, n, threshold)
-    probed = scratch.put(valid.mapInArrow(lambda it: _probed(it, index), "vec_id long, v binary, cells array<long>"), "probed")
-    stored = probed.select(F.col("cells")[0].alias("cell"), "vec_id", "v", "cells")
-    probing = probed.select(F.explode("cells").alias("cell"), "vec_id", "v", "cells")
-    blocks = lambda df, name: df.groupBy("cell").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).cast("long").alias(name))
-    shape = scratch.put(
-        blocks(stored.select("cell"), "sb").join(blocks(probing.select("cell"), "qb"), "cell"), "shape"
+    return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def fitted(vectors: DataFrame, classes: DataFrame, threshold: float) -> dict[int, MultiIndex]:
+    """An index for every length (in bytes) that more than FEW classes have."""
+    out = {}
+    for width, n in classes.groupBy("width").count().where(F.col("count") > FEW).orderBy("width").collect():
+        size = max(SAMPLE, 64 * math.ceil(math.sqrt(n / CELL_ROWS)))
+        share = F.lit(int(min(1.0, 1.2 * size / n) * 1_000_000) + 1)
+        part = vectors.where((F.length("v") == width) & (F.pmod(F.xxhash64("f1", "f2"), F.lit(1_000_000)) < share))
+        chosen = part.orderBy(F.xxhash64("f1", "f2", F.lit(1)), "f1", "f2").limit(size).select("v")
+        sample = np.stack([np.frombuffer(r[0], "<f4").astype(np.float64) for r in chosen.collect()])
+        sample = sample / np.abs(sample).max(axis=1, keepdims=True)
+        if sample.shape[1] < 2:
+            sample = np.repeat(sample, 2, axis=1)  # a vector of one component has no halves
+        out[width] = MultiIndex.fit(sample, n, threshold)
+    return out
+
+
+def _links(coded: DataFrame, classes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(cid, n, label) from all blocks."""
+    key = ["vec_id", "f1", "f2"]
+    reps = classes.select(F.col("rep").alias("vec_id"), "f1", "f2", "cid", "size")
+    vectors = coded.where("v is not null").join(reps, key).dropDuplicates(key).select("cid", "size", "v", "f1", "f2")
+    vectors = scratch.put(vectors, "vectors")
+    indexes = fitted(vectors, classes, threshold)
+    first, n = {}, 0
+    for width, index in indexes.items():
+        first[width], n = n, n + len(index.left) ** 2
+    probed = vectors.select("cid", "size", "v").mapInArrow(lambda it: _probed(it, indexes, first), _PROBED)
+    probed = scratch.put(probed, "probed")
+    own = F.filter(F.arrays_zip("groups", "cells"), lambda z: F.array_contains(z["cells"], F.col("home")))[0]["groups"]
+    none = F.array().cast("array<long>")
+    stored = probed.select(own.alias("g"), "cid", "size", "v", "home", F.flatten("cells").alias("all"), none.alias("mine"))
+    probing = probed.select(F.explode(F.arrays_zip("groups", "cells")).alias("z"), "cid", "size", "v", "home").select(
+        F.col("z.groups").alias("g"), "cid", "size", "v", "home", none.alias("all"), F.col("z.cells").alias("mine")
     )
-    block = lambda col: F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col(col))
+    blocks = lambda df, name, most: df.groupBy("g").agg((F.floor((F.count("*") - 1) / most) + 1).cast("long").alias(name))
+    shape = scratch.put(blocks(stored.select("g"), "sb", BLOCK).join(blocks(probing.select("g"), "qb", 16 * BLOCK), "g"), "shape")
+    shape = sized(shape, shape.count())
+    block = lambda col: F.pmod(F.xxhash64("cid", F.lit(1)), F.col(col))
     every = lambda col: F.explode(F.sequence(F.lit(0).cast("long"), F.col(col) - 1))
-    s = stored.join(shape, "cell").withColumn("s", block("sb")).withColumn("q", every("qb"))
-    q = probing.join(shape, "cell").withColumn("q", block("qb")).withColumn("s", every("sb"))
-    columns = ["cell", "s", "q", "vec_id", "v", "cells"]
-    both = s.select(*columns, F.lit(True).alias("stored")).union(q.select(*columns, F.lit(False).alias("stored")))
-    return (
-        both.repartition("cell", "s", "q").sortWithinPartitions("cell", "s", "q")
-        .mapInArrow(lambda it: _linked(it, threshold), "vec_id long, n long, label long")
-    )
+    s = stored.join(shape, "g").withColumn("s", block("sb")).withColumn("q", every("qb")).withColumn("probing", F.lit(0).cast("long"))
+    q = probing.join(shape, "g").withColumn("q", block("qb")).withColumn("s", every("sb")).withColumn("probing", F.lit(1).cast("long"))
+    columns = [*_KEYS, "probing", "cid", "size", "v", "home", "all", "mine"]
+    both = s.select(*columns).union(q.select(*columns)).repartition(*_KEYS).sortWithinPartitions(*_KEYS, "probing")
+    return scratch.put(both.mapInArrow(lambda it: _linked(it, threshold), "cid long, n long, label long"), "found")
