@@ -490,6 +490,58 @@ def test_vectors(spark, monkeypatch):
     assert none.count() == 0 and none.columns == ["vec_id", "n_links", "component_id", "kept"]
 
 
+@pytest.mark.parametrize("few", [100, 10_000])
+def test_vector_components_against_brute_force(spark, monkeypatch, few):
+    """With an index and without, blocks of several sizes, hot copies, repeated ids and odd rows."""
+    monkeypatch.setattr(vector_dedup, "BLOCK", 40)
+    monkeypatch.setattr(vector_dedup, "FEW", few)
+    monkeypatch.setattr(vector_dedup, "CELL_ROWS", 20)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((400, 8)).astype(np.float32)
+    rows = [(k + 10, v.tolist()) for k, v in enumerate(base)]
+    for k in range(200):
+        v = base[rng.integers(0, 60)] + rng.standard_normal(8).astype(np.float32) * np.float32(rng.choice([0.02, 0.1, 0.3]))
+        rows.append((1000 + k, v.tolist()))
+    rows += [(2000 + k, rows[0][1]) for k in range(300)] + [(3, rows[5][1]), (3, rows[9][1]), (3, rows[9][1]), (4, [1.0] * 3), (5, [2.0] * 3), (6, [-1.0] * 3), (7, [1.0]), (8, [3.0])]
+    odd = [(9, None), (9, []), (3, [0.0] * 8), (None, rows[0][1]), (None, None)]
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").withColumn("cid", F.lit("x"))
+    got = vector_dedup.near_duplicates(df).collect()
+    assert len(got) == len(rows) + len(odd)
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    links, root = Counter(), {i: i for i, _ in distinct}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for width in (1, 3, 8):
+        of = [(i, v) for i, v in distinct if len(v) == width]
+        x = np.array([v for _, v in of], np.float32).astype(float)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u @ u.T >= 0.95
+        for a, b in zip(*np.nonzero(np.triu(near, 1))):
+            links[of[a]] += 1
+            links[of[b]] += 1
+            root[max(find(of[a][0]), find(of[b][0]))] = min(find(of[a][0]), find(of[b][0]))
+    want = Counter((i, find(i), links[i, tuple(np.float32(v).tolist())]) for i, v in rows)
+    have = Counter((r["vec_id"], r["component_id"], r["n_links"]) for r in got if r["vec_id"] not in (None, 9) and not (r["vec_id"] == 3 and r["n_links"] == 0))
+    assert sum((want - have).values()) <= 0.03 * len(rows)
+    assert sum(r["n_links"] for r in got) >= 0.97 * sum(n * k for (_, _, n), k in want.items())
+    if few == 10_000:
+        assert have == want
+    assert [(r["component_id"], r["kept"]) for r in got if r["vec_id"] == 9] == [(9, True)] * 2
+    assert all(r["component_id"] is None and r["kept"] for r in got if r["vec_id"] is None)
+    assert {r["component_id"] for r in got if r["vec_id"] == 3} == {3}
+
+
+def test_index_reaches_its_recall():
+    rng = np.random.default_rng(3)
+    for n in (3000, 60_000):
+        index = vector_dedup.MultiIndex.fit(rng.standard_normal((3000, 24)), n, 0.95)
+        assert index.recall >= vector_dedup.TARGET
+
+
 def test_vector_blocks_count_each_pair_once():
     rng = np.random.default_rng(6)
     x = np.repeat(rng.standard_normal((4, 8)), 5, axis=0) + rng.standard_normal((20, 8)) * 0.01
