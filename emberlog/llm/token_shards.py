@@ -36,7 +36,6 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +50,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END = 50256
 SEQ_LEN = 256
 SHARD_SLOTS = 16_384
-CACHE = 300_000
+CACHE = 400_000
 HEADER = "<qII"
 #: Numbers for texts of one doc_id, and of the rows without one.
 COPIES = 256
@@ -65,7 +64,7 @@ class Tokenizer:
     """A byte-level BPE over a rank file; remembers the ids of words.
 
     Without two white-space characters in a row, the pattern always parts a text before a
-    space, so its words, each with its space, are encoded each for itself.
+    space, so its words, each with its space, are encoded each for itself. Other texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -76,27 +75,49 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.begins = np.zeros(max(ranks.values()) + 1, bool)
+        self.begins[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
 
-    def _word(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = array("H", self.encoding.encode_ordinary(word)).tobytes()
-        if len(word) < 64:
-            if len(self.known) >= CACHE:
-                self.older, self.known = self.known, {}
-            self.known[word] = ids
-        return ids
+    def _learn(self, words: list[str]) -> bool:
+        """Put words, each with the space before it, in the cache: from the one it replaced, or all others encoded at once.
+
+        A space begins a token and is nowhere else in one, so tokens that begin with a space part the words.
+        False if that doesn't hold, because a word begins or ends with white space or has two of it in a row.
+        """
+        if len(self.known) >= CACHE:
+            self.older, self.known = self.known, {}
+        new = []
+        for w in dict.fromkeys(words):
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        if new:
+            text = " " + " ".join(new)
+            if text[-1].isspace() or _WIDE_SPACE.search(text):
+                return False
+            ids = np.array(self.encoding.encode_ordinary(text), "<u2")
+            raw, ends = ids.tobytes(), np.flatnonzero(self.begins[ids]).tolist()
+            for w, start, end in zip(new, ends, [*ends[1:], len(ids)], strict=True):
+                self.known[w] = raw[2 * start : 2 * end]
+        return True
 
     def encode(self, text: str) -> bytes:
         """uint16 ids, as bytes."""
-        if _WIDE_SPACE.search(text):
-            return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
         first, *rest = text.split(" ")
-        word = self._word
-        out = [word(first)]
+        if not rest or first and first[-1].isspace():
+            return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+        out = [np.array(self.encoding.encode_ordinary(first), "<u2").tobytes()]
         for at in range(0, len(rest), 4096):  # the cache may change hands in between
-            get = self.known.get
-            out += [get(w) or word(w) for w in [" " + x for x in rest[at : at + 4096]]]
+            words = rest[at : at + 4096]
+            found = list(map(self.known.get, words))
+            if None in found:
+                if not self._learn([w for w, ids in zip(words, found) if ids is None]):
+                    return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+                get = self.known.get
+                found = [get(w) if ids is None else ids for ids, w in zip(found, words)]
+            out += found
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
