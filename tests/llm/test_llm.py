@@ -60,6 +60,16 @@ def test_permutation(size):
         assert (x != token_shards.slots(np.arange(size), size, 8)).mean() > 0.9
 
 
+def test_words_encoded_together(monkeypatch):
+    t, rng = token_shards.tokenizer(), random.Random(18)
+    bits = ["the", "'s", "'", "don't", "\n", "é", "日本", "12", "a.b", "\t", "...", "🙂", "x\ny", "\u00a0", "<|endoftext|>", "ſ", "\u2003q"]
+    monkeypatch.setattr(token_shards, "CACHE", 20)
+    for _ in range(3000):
+        text = rng.choice(["", " ", "  "]).join("".join(rng.choice(bits) for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 12)))
+        for text in (text, " ".join(text.split()), text + " "):
+            assert np.frombuffer(t.encode(text), "<u2").tolist() == t.encoding.encode_ordinary(text), repr(text)
+
+
 def test_shards_round_trip(spark, edges, empty):
     rng = random.Random(1)
     rows = [(k, texts(rng, rng.randint(1, 300)), "en", "s", 0) for k in range(100, 180)]
