@@ -40,7 +40,8 @@ MIX_WEIGHTS |= {"d1/en/src1": 4, "d2/en/src7": 3, "d0/en/src5": 0}
 
 
 def mix_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(MIX_WEIGHTS.items()), "path string, weight bigint")
+    rows = ", ".join(f"('{path}', {weight}L)" for path, weight in MIX_WEIGHTS.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(path, weight)")
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
