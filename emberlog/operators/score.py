@@ -1,7 +1,10 @@
-"""Running template state and anomaly scores, as windows over each template's lines.
+"""Running template state and anomaly scores, as windows over each template's lines in a chunk of time.
 
-All windows share one exchange and sort by template. The warm-up needs the corpus's first line
-and its 101st: two scalars from a top-k, not a window over all rows.
+Lines are cut into chunks of about CHUNK_ROWS by quantiles of their time (and of their number, where one
+microsecond holds more), so a template that holds a third of all lines is many window tasks. What a chunk
+needs from those before it, its template's count, first and previous time and its last RECENT_CAP - 1 times
+within the burst window, is summed up per (template, chunk) and joined to the lines. All windows over lines
+share that join's exchange. The warm-up needs the corpus's first line and its 101st: two scalars from a top-k.
 """
 
 from __future__ import annotations
@@ -13,27 +16,118 @@ from emberlog.config import RECENT_CAP, ScoreConfig
 from emberlog.functions.text import duration
 
 
-def with_state(lines: DataFrame, config: ScoreConfig = ScoreConfig()) -> DataFrame:
+CHUNK_ROWS, MOST_CHUNKS, _FAN = 1_000_000, 4096, 16
+
+
+def chunk_bounds(lines: DataFrame, rows: int) -> tuple[list[int], list[int]]:
+    """(us, seq) bounds that cut the lines into about equal chunks; the second list only if times tie.
+
+    Bounds only balance the tasks; results don't depend on them.
+    """
+    steps = ",".join(str(k / MOST_CHUNKS) for k in range(1, MOST_CHUNKS))
+    marks = [F.expr(f"percentile_approx({c}, cast(split('{steps}', ',') as array<double>), {2 * MOST_CHUNKS})") for c in ("us", "seq")]
+    n, us, seq = lines.select(F.unix_micros("time").alias("us"), "seq").agg(F.count("*"), *marks).first()
+    chunks = min(MOST_CHUNKS, -(-n // rows))
+    if chunks < 2 or us is None:
+        return [], []
+    at = [k * MOST_CHUNKS // chunks - 1 for k in range(1, chunks)]
+    times, numbers = [us[k] for k in at], [seq[k] for k in at] if seq else []
+    return times, numbers if len(set(times)) < len(times) else []
+
+
+def _literals(values: list[int]):
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _below(df: DataFrame, name: str, bounds: list[int], of: str) -> DataFrame:
+    """Add how many of the ascending bounds lie below a column, by levels of _FAN comparisons."""
+    stride = 1
+    while stride * _FAN <= len(bounds):
+        stride *= _FAN
+    df = df.withColumn(name, F.lit(0).cast("bigint"))
+    while stride:
+        marks = F.slice(_literals(bounds[stride - 1 :: stride]), (F.col(name) / stride).cast("int") + 1, _FAN)
+        df = df.withColumn(name, F.col(name) + stride * F.size(F.filter(marks, lambda x: x < F.col(of))))
+        stride //= _FAN
+    return df
+
+
+def _with_chunk(df: DataFrame, times: list[int], numbers: list[int]) -> DataFrame:
+    """Add _chunk, ascending in (us, seq); lines without a time come first, as in a sort."""
+    distinct = sorted(set(times))
+    tied = [t for k, t in enumerate(times) if times[k - 1 : k] == [t]]
+    df = _below(df, "_chunk", distinct, "us")
+    if not numbers:
+        return df.withColumn("_chunk", F.coalesce(F.when(F.col("us").isNotNull(), F.col("_chunk")), F.lit(-1)))
+    df = _below(df, "_part", sorted(set(numbers)), "seq")
+    full = F.array_contains(_literals(sorted(set(tied))), F.col("us"))
+    place = 2 * F.col("_chunk") + full.cast("bigint")
+    place = place * (len(numbers) + 1) + F.when(full, F.col("_part")).otherwise(0)
+    return df.withColumn("_chunk", F.coalesce(place, F.lit(-1))).drop("_part")
+
+
+def _carried(df: DataFrame, times: list[int], span: int) -> DataFrame:
+    """(pattern, _chunk) with what the template's earlier chunks leave: _n0, _first0, _prev0, _tail0."""
+    last = RECENT_CAP - 1
+    # Only times within the window of a later chunk's line count: such a line is not before the next bound.
+    df = _below(df.select("pattern", "us", "_chunk"), "_k", sorted(set(times)), "us")
+    end = F.get(_literals(sorted(set(times))), F.col("_k").cast("int"))
+    near = F.when(F.col("us") >= end - span, F.col("us"))
+    tail = F.slice(F.sort_array(F.collect_list(near), asc=False), 1, last)
+    made = df.groupBy("pattern", "_chunk").agg(
+        F.count("*").alias("_n"), F.min("us").alias("_first"), F.max("us").alias("_last"), tail.alias("_tail")
+    )
+    before = Window.partitionBy("pattern").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    made = made.withColumns(
+        {
+            "_n0": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_first0": F.min("_first").over(before),
+            "_prev0": F.max("_last").over(before), "_t0": F.coalesce(F.sum(F.size("_tail")).over(before), F.lit(0)),
+        }
+    )
+    # Chunks whose tails can be among the last 2047 times: tails hold at most as many each.
+    reach = Window.partitionBy("pattern").orderBy("_t0").rangeBetween(-2 * last, Window.currentRow)
+    made = made.withColumn("_near", F.collect_list(F.when(F.size("_tail") > 0, F.struct("_chunk", "_tail"))).over(reach))
+    earlier = F.filter("_near", lambda x: x["_chunk"] < F.col("_chunk"))
+    times_desc = F.sort_array(F.flatten(F.transform(earlier, lambda x: x["_tail"])), asc=False)
+    return made.select("pattern", "_chunk", "_n0", "_first0", "_prev0", F.slice(times_desc, 1, last).alias("_tail0"))
+
+
+def with_state(lines: DataFrame, config: ScoreConfig = ScoreConfig(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add, per template and as of each line: count, first_us, prev_us, in_window, seconds.
 
     in_window is the occurrences of the last burst_window among the last RECENT_CAP, this
     one included. Lines of one time count in seq order.
     """
     df = lines.withColumn("us", F.unix_micros("time"))
-    w = Window.partitionBy("pattern").orderBy("us", "seq")
-    span = int(config.burst_window * 1_000_000)
-    recent = Window.partitionBy("pattern").orderBy("us").rangeBetween(-span, Window.currentRow)
+    span, back = int(config.burst_window * 1_000_000), RECENT_CAP - 1
+    times, numbers = chunk_bounds(lines, chunk_rows)
+    keys = ["pattern"]
+    if times:
+        keys.append("_chunk")
+        df = _with_chunk(df, times, numbers)
+        df = df.join(_carried(df, times, span), keys, "left")
+    w = Window.partitionBy(*keys).orderBy("us", "seq")
+    recent = Window.partitionBy(*keys).orderBy("us").rangeBetween(-span, Window.currentRow)
     df = (
         df.withColumn("count", F.row_number().over(w).cast("bigint"))
         .withColumn("first_us", F.min("us").over(w))
         .withColumn("prev_us", F.lag("us").over(w))
-        .withColumn("_oldest", F.lag("us", RECENT_CAP - 1).over(w))
+        .withColumn("_oldest", F.lag("us", back).over(w))
     )
-    df = df.withColumn("_from", F.min("count").over(recent))
-    df = df.withColumn("in_window", F.least(F.col("count") - F.col("_from") + 1, F.lit(RECENT_CAP)))
+    df = df.withColumn("_seen", F.col("count") - F.min("count").over(recent) + 1)
+    if times:
+        reaches = (F.col("_seen") == F.col("count")) & (F.col("_seen") < RECENT_CAP) & (F.col("_prev0") >= F.col("us") - span)
+        older = F.size(F.filter("_tail0", lambda x: x >= F.col("us") - span))
+        df = df.withColumn("_seen", F.when(reaches, F.col("_seen") + older).otherwise(F.col("_seen")))
+        df = df.withColumn("_oldest", F.coalesce("_oldest", F.get("_tail0", (back - F.col("count")).cast("int"))))
+        df = df.withColumn("prev_us", F.when(F.col("count") == 1, F.col("_prev0")).otherwise(F.col("prev_us")))
+        df = df.withColumn("first_us", F.coalesce("_first0", "first_us"))
+        df = df.withColumn("count", F.col("count") + F.coalesce("_n0", F.lit(0)))
+        df = df.drop("_chunk", "_n0", "_first0", "_prev0", "_tail0")
+    df = df.withColumn("in_window", F.least(F.col("_seen"), F.lit(RECENT_CAP)).cast("bigint"))
     full = (F.col("in_window") == RECENT_CAP) & (F.col("us") - F.col("_oldest") < span)
     seconds = F.when(full, F.greatest((F.col("us") - F.col("_oldest")) / F.lit(1e6), F.lit(1e-6)))
-    return df.withColumn("seconds", F.coalesce(seconds, F.lit(float(config.burst_window)))).drop("_oldest", "_from")
+    return df.withColumn("seconds", F.coalesce(seconds, F.lit(float(config.burst_window)))).drop("_oldest", "_seen")
 
 
 def warm_from(lines: DataFrame, config: ScoreConfig) -> tuple[int, int, int] | None:

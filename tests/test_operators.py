@@ -124,6 +124,26 @@ def test_full_ring(spark):
     assert sorted(tuple(r) for r in got.collect()) == sequential(rows, config)
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_chunks_of_a_hot_template(spark, ties):
+    """A template with two thirds of the lines, bursts past the ring's size, and times that fill chunks."""
+    rng, rows, t = random.Random(9), [], 0
+    for k in range(9000):
+        t += 0 if ties and 2000 < k < 6500 else rng.choice([0, 1, 300, 40_000 if k % 1000 else 9_000_000])
+        rows.append((k, T0 + timedelta(microseconds=t), "hot" if rng.random() < 0.66 else f"p{rng.randrange(40)}"))
+    df = spark.createDataFrame(rows, "seq bigint, time timestamp, pattern string").repartition(5)
+    config = ScoreConfig(burst_window=2.0)
+    columns = ["seq", "count", "first_us", "prev_us", "in_window", "seconds"]
+    times, numbers = score.chunk_bounds(df, 200)
+    assert len(times) > 40 and bool(numbers) == ties
+    sizes = score._with_chunk(df.withColumn("us", F.unix_micros("time")), times, numbers).groupBy("_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 500
+    want = sorted(map(tuple, score.with_state(df, config).select(columns).collect()))
+    got = score.with_state(df, config, chunk_rows=200)
+    assert set(got.columns) == {*df.columns, "us", *columns}
+    assert sorted(map(tuple, got.select(columns).collect())) == want
+
+
 def test_signals_and_reasons(spark):
     config = ScoreConfig(warmup=0, warmup_lines=0, cache_ttl=0, rate_per_min=1000)
     cases = [("a", "stdout", "", 0.45), ("b", "stderr", "", 0.75), ("c", "stdout", "WARN", 0.65), ("d", "stdout", "ERROR", 1.05), ("e", "stderr", "FATAL", 1.45)]
