@@ -1,6 +1,6 @@
 """Running template state and anomaly scores, as windows over each template's lines in a chunk of time.
 
-Lines are cut into chunks of about CHUNK_ROWS by quantiles of their time (and of their number, where one
+Lines are cut into chunks of about chunks.ROWS by quantiles of their time (and of their number, where one
 microsecond holds more), so a template that holds a third of all lines is many window tasks. What a chunk
 needs from those before it, its template's count, first and previous time and its last RECENT_CAP - 1 times
 within the burst window, is summed up per (template, chunk) and joined to the lines. All windows over lines
@@ -14,53 +14,24 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from emberlog.config import RECENT_CAP, ScoreConfig
 from emberlog.functions.text import duration
-
-
-CHUNK_ROWS, MOST_CHUNKS, _FAN = 1_000_000, 4096, 16
+from emberlog.operators import chunks
 
 
 def chunk_bounds(lines: DataFrame, rows: int) -> tuple[list[int], list[int]]:
-    """(us, seq) bounds that cut the lines into about equal chunks; the second list only if times tie.
-
-    Bounds only balance the tasks; results don't depend on them.
-    """
-    steps = ",".join(str(k / MOST_CHUNKS) for k in range(1, MOST_CHUNKS))
-    marks = [F.expr(f"percentile_approx({c}, cast(split('{steps}', ',') as array<double>), {2 * MOST_CHUNKS})") for c in ("us", "seq")]
-    n, us, seq = lines.select(F.unix_micros("time").alias("us"), "seq").agg(F.count("*"), *marks).first()
-    chunks = min(MOST_CHUNKS, -(-n // rows))
-    if chunks < 2 or us is None:
-        return [], []
-    at = [k * MOST_CHUNKS // chunks - 1 for k in range(1, chunks)]
-    times, numbers = [us[k] for k in at], [seq[k] for k in at] if seq else []
+    """(us, seq) bounds that cut the lines into about equal chunks; the second list only if times tie."""
+    times, numbers = chunks.bounds(lines.select(F.unix_micros("time").alias("us"), "seq"), ["us", "seq"], rows)
     return times, numbers if len(set(times)) < len(times) else []
 
 
-def _literals(values: list[int]):
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
-def _below(df: DataFrame, name: str, bounds: list[int], of: str) -> DataFrame:
-    """Add how many of the ascending bounds lie below a column, by levels of _FAN comparisons."""
-    stride = 1
-    while stride * _FAN <= len(bounds):
-        stride *= _FAN
-    df = df.withColumn(name, F.lit(0).cast("bigint"))
-    while stride:
-        marks = F.slice(_literals(bounds[stride - 1 :: stride]), (F.col(name) / stride).cast("int") + 1, _FAN)
-        df = df.withColumn(name, F.col(name) + stride * F.size(F.filter(marks, lambda x: x < F.col(of))))
-        stride //= _FAN
-    return df
-
-
 def _with_chunk(df: DataFrame, times: list[int], numbers: list[int]) -> DataFrame:
     """Add _chunk, ascending in (us, seq); lines without a time come first, as in a sort."""
     distinct = sorted(set(times))
     tied = [t for k, t in enumerate(times) if times[k - 1 : k] == [t]]
-    df = _below(df, "_chunk", distinct, "us")
+    df = chunks.below(df, "_chunk", distinct, "us")
     if not numbers:
         return df.withColumn("_chunk", F.coalesce(F.when(F.col("us").isNotNull(), F.col("_chunk")), F.lit(-1)))
-    df = _below(df, "_part", sorted(set(numbers)), "seq")
-    full = F.array_contains(_literals(sorted(set(tied))), F.col("us"))
+    df = chunks.below(df, "_part", sorted(set(numbers)), "seq")
+    full = F.array_contains(chunks.literals(sorted(set(tied))), F.col("us"))
     place = 2 * F.col("_chunk") + full.cast("bigint")
     place = place * (len(numbers) + 1) + F.when(full, F.col("_part")).otherwise(0)
     return df.withColumn("_chunk", F.coalesce(place, F.lit(-1))).drop("_part")
@@ -70,8 +41,8 @@ def _carried(df: DataFrame, times: list[int], span: int) -> DataFrame:
     """(pattern, _chunk) with what the template's earlier chunks leave: _n0, _first0, _prev0, _tail0."""
     last = RECENT_CAP - 1
     # Only times within the window of a later chunk's line count: such a line is not before the next bound.
-    df = _below(df.select("pattern", "us", "_chunk"), "_k", sorted(set(times)), "us")
-    end = F.get(_literals(sorted(set(times))), F.col("_k").cast("int"))
+    df = chunks.below(df.select("pattern", "us", "_chunk"), "_k", sorted(set(times)), "us")
+    end = F.get(chunks.literals(sorted(set(times))), F.col("_k").cast("int"))
     near = F.when(F.col("us") >= end - span, F.col("us"))
     tail = F.slice(F.sort_array(F.collect_list(near), asc=False), 1, last)
     made = df.groupBy("pattern", "_chunk").agg(
@@ -92,7 +63,7 @@ def _carried(df: DataFrame, times: list[int], span: int) -> DataFrame:
     return made.select("pattern", "_chunk", "_n0", "_first0", "_prev0", F.slice(times_desc, 1, last).alias("_tail0"))
 
 
-def with_state(lines: DataFrame, config: ScoreConfig = ScoreConfig(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def with_state(lines: DataFrame, config: ScoreConfig = ScoreConfig(), chunk_rows: int = chunks.ROWS) -> DataFrame:
     """Add, per template and as of each line: count, first_us, prev_us, in_window, seconds.
 
     in_window is the occurrences of the last burst_window among the last RECENT_CAP, this

@@ -63,11 +63,20 @@ def test_fold_against_the_rule(spark):
     for part in groups.values():
         for event in fold.fold_rows(part, 200_000):
             want.add((event[0][0], len(event), "\n".join(e[2] for e in event)))
-    got = {(r["seq"], r["n_lines"], r["raw"]) for r in fold.fold(df).collect()}
-    assert got == want
+    for chunk_rows in (1_000_000, 37):  # long segments lie in many small chunks
+        got = [(r["seq"], r["n_lines"], r["raw"]) for r in fold.fold(df, chunk_rows=chunk_rows).collect()]
+        assert set(got) == want and len(got) == len(want)
     assert fold.fold(df, 0).count() == len(rows)
 
 
+def test_fold_of_odd_lines(spark):
+    rows = [(0, at(0), "a", "stdout", " starts indented", ""), (1, at(0), "a", "stdout", None, ""), (2, at(0), "a", "stdout", " x", ""), (3, None, "a", "stdout", "y", "")]
+    df = spark.createDataFrame(rows, LINES)
+    for chunk_rows in (1_000_000, 1):
+        assert sorted((r["seq"], r["n_lines"]) for r in fold.fold(df, chunk_rows=chunk_rows).collect()) == [(0, 1), (1, 2), (3, 1)]
+    assert fold.fold(df.limit(0)).count() == 0
+
+
 # ---- scores
 
 
