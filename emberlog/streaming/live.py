@@ -3,7 +3,8 @@
 `fold_stream` keeps an open message for each (source, stream). `Live` scores micro-batches:
 the state of templates is a table, the gate and the line counter are a small record, and both are
 written under the number of the batch that made them. A batch that runs again starts from its
-predecessor's state and overwrites its own results, so it counts once.
+predecessor's state and overwrites its own results, so it counts once. The state of earlier batches
+is removed.
 
 Late lines are scored at the place where they arrive.
 """
@@ -68,6 +69,10 @@ def fold_stream(lines: DataFrame, timeout_ms: int = 200) -> DataFrame:
     )
 
 
+_DECIDED = (
+    "seq bigint, us bigint, source string, stream string, raw string, level string, pattern string, "
+    "score double, reasons array<string>, count bigint, first_us bigint"
+)
 _STATE = "pattern string, n bigint, first bigint, last bigint, recent array<bigint>"
 
 
@@ -136,6 +141,11 @@ class Live:
         head = lines.select(F.unix_micros("time").alias("us"), "seq").orderBy("us", "seq").limit(left).collect()
         return (earliest, head[-1][0], head[-1][1]) if len(head) == left else None
 
+    def _remove(self, path: str) -> None:
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
     # ---- one micro-batch
 
     def process(self, batch: DataFrame, number: int) -> None:
@@ -154,25 +164,30 @@ class Live:
             if n:
                 warm = self._warm(lines, record)
                 scored = score.add_scores(self._state(lines, prior), warm, self.config.score)
-                rows = scored.where(F.col("score") >= self.config.score.threshold)
-                gate = Gate(**record["gate"])
-                made = []
-                for r in rows.select("us", "seq", "pattern", "score", "count").orderBy("us", "seq").toLocalIterator():
-                    made.append((r["seq"], r["us"], r["pattern"], r["score"], r["count"], gate.decide(r["pattern"], r["us"])))
+                rows = score.with_reasons(scored.where(F.col("score") >= self.config.score.threshold), self.config.score)
+                rows = rows.select(*(c.split()[0] for c in _DECIDED.split(", ")))
+                gate, made = Gate(**record["gate"]), []
+                for r in rows.select("us", "seq", "pattern").orderBy("us", "seq").toLocalIterator():
+                    made.append((r["seq"], gate.decide(r["pattern"], r["us"])))
                 record["gate"] = asdict(gate)
+                decided = rows.join(self.spark.createDataFrame(made, "seq bigint, decision string"), "seq")
             else:
-                made = []
+                decided = self.spark.createDataFrame([], _DECIDED + ", decision string")
             record["lines"] += n
-            schema = "seq bigint, us bigint, pattern string, score double, count bigint, decision string"
-            self.spark.createDataFrame(made, schema).write.mode("overwrite").parquet(f"{self.folder}/decided/{number}")
+            decided.write.mode("overwrite").parquet(f"{self.folder}/decided/{number}")
             self._merged(lines, prior).write.mode("overwrite").parquet(f"{self.folder}/templates/{number}")
             text = self.spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1)
             text.write.mode("overwrite").text(f"{self.folder}/record/{number}")
+            for name in ("templates", "record"):  # a batch that runs again needs its predecessor only
+                self._remove(f"{self.folder}/{name}/{number - 2}")
         finally:
             lines.unpersist()
 
-    def start(self, lines: DataFrame, **trigger):
-        """Run over a stream of lines."""
+    def start(self, lines: DataFrame, folded: bool = False, **trigger):
+        """Run over a stream of lines. folded: over its messages, each given out once a pause or a new header ends it;
+        a trigger that stops by itself leaves the last one of each stream open."""
+        if folded and self.config.group_timeout:
+            lines = fold_stream(lines, int(self.config.group_timeout * 1000))
         writer = lines.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.folder}/checkpoint")
         return (writer.trigger(**trigger) if trigger else writer).start()
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
@@ -410,14 +411,18 @@ def test_stream_decides_as_batch(spark, tmp_path):
         t += rng.choice([0.0, 0.01, 0.1, 0.3])
         rows.append((round(t, 3), rng.choice(["[ERROR] x failed", "WARN: y", "z 12", "w", "FATAL: v"]), rng.choice(["stdout", "stderr"])))
     df = lines(spark, rows)
-    want = Replay.of(df, conf, folded=False).decided.select("seq", "count", "decision").collect()
+    columns = ["seq", "count", "decision", "raw", "level", "first_us", "reasons"]
+    row = lambda r: (*r[:-1], tuple(r[-1]))
+    want = Replay.of(df, conf, folded=False).decided.select(columns).collect()
     live = Live(spark, str(tmp_path), conf)
     for n, (lo, hi) in enumerate([(0, 20), (20, 150), (150, 151), (151, 400)]):
         live.process(df.where((F.col("seq") >= lo) & (F.col("seq") < hi)), n)
         if n == 1:
             live.process(df.where((F.col("seq") >= lo) & (F.col("seq") < hi)), n)  # a batch that runs again
-    got = live.decided().select("seq", "count", "decision").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 30
+    got = live.decided().select(columns).collect()
+    assert sorted(map(row, got)) == sorted(map(row, want)) and len(want) > 30
+    assert sorted(p.name for p in (tmp_path / "record").iterdir()) == sorted(p.name for p in (tmp_path / "templates").iterdir()) == ["2", "3"]
+    assert views.records(live.decided()).count() == sum(r["decision"] == "escalated" for r in want)
 
 
 def test_stream_from_files(spark, tmp_path):
@@ -430,6 +435,22 @@ def test_stream_from_files(spark, tmp_path):
     assert [r["pattern"] for r in live.decided().collect()] == ["a"]
 
 
+def test_stream_folds_messages(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("[ERROR] a\n  more of a\n[ERROR] b\n")
+    live = Live(spark, str(tmp_path / "state"), settings.Config(score=ScoreConfig(threshold=0.5)))
+    query = live.start(sources.stream_text(spark, str(tmp_path / "in")), folded=True, processingTime="1 second")
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            found = [r["raw"] for r in live.decided().collect()] if list((tmp_path / "state").glob("decided/*/_SUCCESS")) else []
+            if len(found) > 1:
+                break
+    finally:
+        query.stop()
+    assert sorted(found) == ["[ERROR] a\n  more of a", "[ERROR] b"] and query.exception() is None
+
+
 def test_flags_join_answers_over_streams(spark, tmp_path):
     for name in ("f", "a"):
         (tmp_path / name).mkdir()
