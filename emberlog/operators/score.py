@@ -3,8 +3,10 @@
 Lines are cut into chunks of about chunks.ROWS by quantiles of their time (and of their number, where one
 microsecond holds more), so a template that holds a third of all lines is many window tasks. What a chunk
 needs from those before it, its template's count, first and previous time and its last RECENT_CAP - 1 times
-within the burst window, is summed up per (template, chunk) and joined to the lines. All windows over lines
-share that join's exchange. The warm-up needs the corpus's first line and its 101st: two scalars from a top-k.
+within the burst window, is summed up per (template, chunk) and put before the chunk's lines as rows of
+their own: at most RECENT_CAP - 1 per (template, chunk), and no more than the lines of one burst window per
+chunk. All windows over lines share one exchange. The warm-up needs the corpus's first line and its 101st:
+two scalars from a top-k.
 """
 
 from __future__ import annotations
@@ -38,7 +40,11 @@ def _with_chunk(df: DataFrame, times: list[int], numbers: list[int]) -> DataFram
 
 
 def _carried(df: DataFrame, times: list[int], span: int) -> DataFrame:
-    """(pattern, _chunk) with what the template's earlier chunks leave: _n0, _first0, _prev0, _tail0."""
+    """Rows that stand before a (pattern, _chunk): times of earlier chunks within the window of its first line, in order.
+
+    The last of them is there whatever its time, and has _skip, what its row number lacks to the template's
+    count, and _first0.
+    """
     last = RECENT_CAP - 1
     # Only times within the window of a later chunk's line count: such a line is not before the next bound.
     df = chunks.below(df.select("pattern", "us", "_chunk"), "_k", sorted(set(times)), "us")
@@ -60,7 +66,12 @@ def _carried(df: DataFrame, times: list[int], span: int) -> DataFrame:
     made = made.withColumn("_near", F.collect_list(F.when(F.size("_tail") > 0, F.struct("_chunk", "_tail"))).over(reach))
     earlier = F.filter("_near", lambda x: x["_chunk"] < F.col("_chunk"))
     times_desc = F.sort_array(F.flatten(F.transform(earlier, lambda x: x["_tail"])), asc=False)
-    return made.select("pattern", "_chunk", "_n0", "_first0", "_prev0", F.slice(times_desc, 1, last).alias("_tail0"))
+    near = F.filter(F.slice(times_desc, 1, last), lambda x: x >= F.col("_first") - span)
+    made = made.where("_n0 > 0").withColumn("_older", F.slice(near, 2, last))
+    skip, none = F.col("_n0") - F.size("_older") - 1, F.lit(None).cast("bigint")
+    head = F.struct(F.col("_prev0").alias("us"), F.lit(-(2**63) + 1).alias("seq"), skip.alias("_skip"), F.col("_first0"))
+    rest = F.transform("_older", lambda x: F.struct(x.alias("us"), F.lit(-(2**63)).alias("seq"), none.alias("_skip"), none.alias("_first0")))
+    return made.select("pattern", "_chunk", F.explode(F.concat(F.array(head), rest)).alias("_x")).select("pattern", "_chunk", "_x.*")
 
 
 def with_state(lines: DataFrame, config: ScoreConfig = ScoreConfig(), chunk_rows: int = chunks.ROWS) -> DataFrame:
@@ -72,33 +83,30 @@ def with_state(lines: DataFrame, config: ScoreConfig = ScoreConfig(), chunk_rows
     df = lines.withColumn("us", F.unix_micros("time"))
     span, back = int(config.burst_window * 1_000_000), RECENT_CAP - 1
     times, numbers = chunk_bounds(lines, chunk_rows)
-    keys = ["pattern"]
+    keys, count = ["pattern"], F.col("_r")
+    first = F.col("us")
     if times:
         keys.append("_chunk")
         df = _with_chunk(df, times, numbers)
-        df = df.join(_carried(df, times, span), keys, "left")
+        df = df.withColumn("_line", F.lit(True)).unionByName(_carried(df, times, span), allowMissingColumns=True)
+        first = F.coalesce("_first0", "us")
     w = Window.partitionBy(*keys).orderBy("us", "seq")
     recent = Window.partitionBy(*keys).orderBy("us").rangeBetween(-span, Window.currentRow)
     df = (
-        df.withColumn("count", F.row_number().over(w).cast("bigint"))
-        .withColumn("first_us", F.min("us").over(w))
+        df.withColumn("_r", F.row_number().over(w).cast("bigint"))
+        .withColumn("first_us", F.min(first).over(w))
         .withColumn("prev_us", F.lag("us").over(w))
         .withColumn("_oldest", F.lag("us", back).over(w))
     )
-    df = df.withColumn("_seen", F.col("count") - F.min("count").over(recent) + 1)
     if times:
-        reaches = (F.col("_seen") == F.col("count")) & (F.col("_seen") < RECENT_CAP) & (F.col("_prev0") >= F.col("us") - span)
-        older = F.size(F.filter("_tail0", lambda x: x >= F.col("us") - span))
-        df = df.withColumn("_seen", F.when(reaches, F.col("_seen") + older).otherwise(F.col("_seen")))
-        df = df.withColumn("_oldest", F.coalesce("_oldest", F.get("_tail0", (back - F.col("count")).cast("int"))))
-        df = df.withColumn("prev_us", F.when(F.col("count") == 1, F.col("_prev0")).otherwise(F.col("prev_us")))
-        df = df.withColumn("first_us", F.coalesce("_first0", "first_us"))
-        df = df.withColumn("count", F.col("count") + F.coalesce("_n0", F.lit(0)))
-        df = df.drop("_chunk", "_n0", "_first0", "_prev0", "_tail0")
+        count = count + F.coalesce(F.max("_skip").over(w), F.lit(0))
+    df = df.withColumn("count", count).withColumn("_seen", F.col("_r") - F.min("_r").over(recent) + 1)
+    if times:
+        df = df.where("_line").drop("_chunk", "_line", "_skip", "_first0")
     df = df.withColumn("in_window", F.least(F.col("_seen"), F.lit(RECENT_CAP)).cast("bigint"))
     full = (F.col("in_window") == RECENT_CAP) & (F.col("us") - F.col("_oldest") < span)
     seconds = F.when(full, F.greatest((F.col("us") - F.col("_oldest")) / F.lit(1e6), F.lit(1e-6)))
-    return df.withColumn("seconds", F.coalesce(seconds, F.lit(float(config.burst_window)))).drop("_oldest", "_seen")
+    return df.withColumn("seconds", F.coalesce(seconds, F.lit(float(config.burst_window)))).drop("_oldest", "_seen", "_r")
 
 
 def warm_from(lines: DataFrame, config: ScoreConfig) -> tuple[int, int, int] | None:
