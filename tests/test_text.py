@@ -1,10 +1,13 @@
 """Masking, levels, shapes, texts, anonymising and answers, without tables."""
 
 import json
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from emberlog.functions import answers, anonymize, levels, masking, text
 
@@ -190,3 +193,36 @@ def test_prompt():
     r = answers.Request("x" * 1001, "t", "svc", "stderr", "", 3, now, now - timedelta(seconds=61), ("c",))
     p = answers.user_prompt(r)
     assert "level=-" in p and "…[truncated]" in p and "Occurrences: 3 (first seen 1m1s ago)" in p and p.endswith("c\n")
+
+
+def _took(df, column):
+    best = 1e9
+    for _ in range(3):
+        began = time.perf_counter()
+        df.select(F.sum(F.octet_length(column))).collect()
+        best = min(best, time.perf_counter() - began)
+    return best
+
+
+def test_masks_of_prose_are_quick(spark):
+    """All masks of prose take less than the portable IP pattern alone, which is slow in Java."""
+    df = spark.createDataFrame([("in the end of it all, and so on. " * 20_000,)] * 8, "t string").repartition(4).cache()
+    df.count()
+    assert _took(df, masking.mask(F.col("t"))) < 0.9 * _took(df, F.regexp_replace("t", masking.IP, "$1<IP>"))
+
+
+def test_masks_of_address_shapes(spark):
+    rng, atoms = random.Random(3), [*"0129afx:. -", "::", "1:2:3:4:5:6:7:8", "10.0.0.1", "deadbeef", "0x", " fe80::1", "ab:"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(1, 24))) for _ in range(4000)]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", masking.mask(F.col("t"))).collect()
+    assert [m for _, m in made] == [masking.mask_text(t) for t, _ in made]
+
+
+def test_hashes_of_many_patterns(spark):
+    """Short and long patterns of one batch, with nulls; not byte by byte in SQL."""
+    rng = random.Random(4)
+    texts = [None, "", "é" * 5000, "x" * 200_000, *("".join(rng.choice("aé<>٣😀 ") for _ in range(rng.randrange(60))) for _ in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "p string").coalesce(1)
+    made = df.select("p", masking.fnv(F.col("p"))).collect()
+    assert all(h == (None if p is None else masking.fnv_text(p)) for p, h in made) and len(made) == len(texts)
+    assert "aggregate(" not in df.select(masking.fnv(F.col("p")))._jdf.queryExecution().optimizedPlan().toString()
