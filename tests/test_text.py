@@ -226,3 +226,17 @@ def test_hashes_of_many_patterns(spark):
     made = df.select("p", masking.fnv(F.col("p"))).collect()
     assert all(h == (None if p is None else masking.fnv_text(p)) for p, h in made) and len(made) == len(texts)
     assert "aggregate(" not in df.select(masking.fnv(F.col("p")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_guards_of_rules_lose_nothing():
+    """A guard may fail only on texts its rule finds nothing in, and most prose stays away from the slow rules."""
+    rng, atoms = random.Random(6), [*"0129afAFx:. -/@<>", "::", "1:2:3:4:5:6:7:8", "2001:DB8:", ".local", "db-1.Internal", "app.LAN", ".corp.x", "<NUM>", "\u0130", "K"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(1, 24))) for _ in range(6000)]
+    guarded = [r for r in anonymize.rules() if r.guard]
+    assert [r.tag for r in guarded] == ["IP", "HOST"]
+    for rule in guarded:
+        pattern = rule.compiled()
+        found = [t for t in texts if pattern.search(t)]
+        assert len(found) > 500 and all(rule.may_match(t) for t in found)
+        assert not rule.may_match("it ended at 10:20:30. the local host of the lan: none")
+    assert all(r.guard is None for r in anonymize.rules(("b\u00fcro",)) if r.tag == "HOST")
