@@ -91,7 +91,8 @@ def with_state(lines: DataFrame, config: ScoreConfig = ScoreConfig(), chunk_rows
         df = df.withColumn("_line", F.lit(True)).unionByName(_carried(df, times, span), allowMissingColumns=True)
         first = F.coalesce("_first0", "us")
     w = Window.partitionBy(*keys).orderBy("us", "seq")
-    recent = Window.partitionBy(*keys).orderBy("us").rangeBetween(-span, Window.currentRow)
+    # Counted from the first line on, so the frame only grows: one that slides is read again for every line.
+    past = Window.partitionBy(*keys).orderBy("us").rangeBetween(Window.unboundedPreceding, -span - 1)
     df = (
         df.withColumn("_r", F.row_number().over(w).cast("bigint"))
         .withColumn("first_us", F.min(first).over(w))
@@ -100,7 +101,8 @@ def with_state(lines: DataFrame, config: ScoreConfig = ScoreConfig(), chunk_rows
     )
     if times:
         count = count + F.coalesce(F.max("_skip").over(w), F.lit(0))
-    df = df.withColumn("count", count).withColumn("_seen", F.col("_r") - F.min("_r").over(recent) + 1)
+    seen = F.when(F.col("us").isNull(), F.col("_r")).otherwise(F.col("_r") - F.count("*").over(past))
+    df = df.withColumn("count", count).withColumn("_seen", seen)
     if times:
         df = df.where("_line").drop("_chunk", "_line", "_skip", "_first0")
     df = df.withColumn("in_window", F.least(F.col("_seen"), F.lit(RECENT_CAP)).cast("bigint"))

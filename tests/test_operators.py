@@ -170,6 +170,26 @@ def test_lines_carry_no_times(spark):
     assert made.count() == 3000
 
 
+def test_window_counts_read_lines_once(spark):
+    """A frame that slides is read again for every line: lines times the lines of a window, which never ended on dense tables."""
+    config = ScoreConfig(burst_window=2.0)
+    df = scored_lines(spark, [(k * 1000, "stdout", "", "hot") for k in range(6000)])
+    assert "RangeFrame, -" not in score.with_state(df, config)._jdf.queryExecution().analyzed().toString()
+    for chunk_rows in (1_000_000, 1000):
+        got = dict(score.with_state(df, config, chunk_rows).select("seq", "in_window").collect())
+        assert got == {k: min(k + 1, 2001) for k in range(6000)}
+
+
+def test_window_counts_without_times(spark):
+    """Lines without a time come first, and count among themselves only."""
+    rows = [(k, None if k % 3 == 0 else T0 + timedelta(seconds=k // 6), "t") for k in range(90)]
+    df = spark.createDataFrame(rows, "seq bigint, time timestamp, pattern string")
+    for chunk_rows in (1_000_000, 20):
+        got = dict(score.with_state(df, ScoreConfig(burst_window=3.0), chunk_rows).select("seq", "in_window").collect())
+        timed = {k: sum(1 for j in range(k + 1) if j % 3 and j // 6 >= k // 6 - 3) for k in range(90)}
+        assert got == {k: timed[k] if k % 3 else k // 3 + 1 for k in range(90)}
+
+
 def test_signals_and_reasons(spark):
     config = ScoreConfig(warmup=0, warmup_lines=0, cache_ttl=0, rate_per_min=1000)
     cases = [("a", "stdout", "", 0.45), ("b", "stderr", "", 0.75), ("c", "stdout", "WARN", 0.65), ("d", "stdout", "ERROR", 1.05), ("e", "stderr", "FATAL", 1.45)]
