@@ -8,7 +8,7 @@ are few by the gate's purpose; everything before stays parallel.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -56,8 +56,12 @@ class Gate:
         return "escalated"
 
 
-def decide(scored: DataFrame, config: ScoreConfig = ScoreConfig(), key: str = "pattern") -> DataFrame:
-    """The rows at or above the threshold, with `decision`."""
+def decide(scored: DataFrame, config: ScoreConfig = ScoreConfig(), key: str = "pattern", columns: Iterable[str] | None = None) -> DataFrame:
+    """The rows at or above the threshold, with `decision`.
+
+    columns: what the rows keep besides seq, us and the key; all by default. Spark can't see what Python leaves
+    unread, so what isn't named here goes through every exchange before the gate for nothing.
+    """
     rate, ttl = config.rate_per_min, int(config.cache_ttl * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,6 +71,8 @@ def decide(scored: DataFrame, config: ScoreConfig = ScoreConfig(), key: str = "p
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "decision"])
 
     candidates = scored.where(F.col("score") >= config.threshold)
+    if columns is not None:
+        candidates = candidates.select(*dict.fromkeys(("seq", "us", key, *columns)))
     ordered = candidates.repartition(1).sortWithinPartitions("us", "seq")
     return ordered.mapInArrow(run, T.StructType([*candidates.schema.fields, T.StructField("decision", T.StringType())]))
 

@@ -167,6 +167,10 @@ def add_scores(df: DataFrame, warm: tuple[int, int, int] | None, config: ScoreCo
     return df.withColumn("score", total)
 
 
+#: What with_reasons() reads.
+REASONED = ("novel", "burst", "of_stderr", "of_level", "count", "us", "prev_us", "rate", "baseline", "in_window")
+
+
 def reasons_of(config: ScoreConfig):
     """A function for the reasons of flagged rows only; their texts round half to even."""
 

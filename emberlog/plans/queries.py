@@ -28,8 +28,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.with_score(_lines(spark, sf_dir), DENSE)
 
 
-def _decided(spark: SparkSession, sf_dir: str, config: ScoreConfig = PRESSED) -> DataFrame:
-    return gate.decide(score.with_score(_lines(spark, sf_dir, SPEEDUP), config), config)
+def _decided(spark: SparkSession, sf_dir: str, *columns: str, config: ScoreConfig = PRESSED) -> DataFrame:
+    return gate.decide(score.with_score(_lines(spark, sf_dir, SPEEDUP), config), config, columns=columns)
 
 
 def _ntz(column: str):
@@ -132,17 +132,17 @@ def gate_threshold(spark, sf_dir):
 def gate_cache(spark, sf_dir):
     """Decisions with a free bucket: the cache alone."""
     config = ScoreConfig(threshold=0.6, rate_per_min=1_000_000, cache_ttl=60.0)
-    return _decided(spark, sf_dir, config).select("seq", "decision")
+    return _decided(spark, sf_dir, config=config).select("seq", "decision")
 
 
 def gate_rate(spark, sf_dir):
     """Decisions without a cache: the bucket alone."""
     config = ScoreConfig(threshold=0.6, rate_per_min=5, cache_ttl=0.0)
-    return _decided(spark, sf_dir, config).select("seq", "decision")
+    return _decided(spark, sf_dir, config=config).select("seq", "decision")
 
 
 def gate_full(spark, sf_dir):
-    return _decided(spark, sf_dir).select("seq", "us", "pattern", "score", "decision")
+    return _decided(spark, sf_dir, "score").select("seq", "us", "pattern", "score", "decision")
 
 
 def escalation_stats(spark, sf_dir):
@@ -158,14 +158,14 @@ def flag_history(spark, sf_dir):
 
 def cards(spark, sf_dir):
     rows = _lines(spark, sf_dir, SPEEDUP)
-    decided = gate.decide(score.with_score(rows, PRESSED), PRESSED)
+    decided = gate.decide(score.with_score(rows, PRESSED), PRESSED, columns=["score"])
     made = views.cards(decided, score.template_summary(rows))
     return made.select("seq", "pattern", "score", "live_count", "flag_count", "first_flagged_us", "last_flagged_us")
 
 
 def _context(spark, sf_dir, n, prefix):
     rows = _lines(spark, sf_dir, SPEEDUP)
-    decided = gate.decide(score.with_score(rows, PRESSED), PRESSED).where("decision = 'escalated'")
+    decided = gate.decide(score.with_score(rows, PRESSED), PRESSED, columns=()).where("decision = 'escalated'")
     placed = views.with_position(rows)
     flagged = decided.select("seq").join(placed.select("seq", "pos"), "seq")
     return views.with_context(flagged, placed, n, prefix).select("seq", F.array_join("context", "\n").alias("context"))
@@ -185,7 +185,7 @@ def stream_tail(spark, sf_dir):
 
 def snapshot_stats(spark, sf_dir):
     rows = _lines(spark, sf_dir, SPEEDUP)
-    return views.snapshot_stats(rows, gate.decide(score.with_score(rows, PRESSED), PRESSED))
+    return views.snapshot_stats(rows, gate.decide(score.with_score(rows, PRESSED), PRESSED, columns=()))
 
 
 def lines_per_second(spark, sf_dir):
@@ -216,7 +216,7 @@ def fan_in(spark, sf_dir):
 
 
 def _escalated(spark, sf_dir):
-    rows = _decided(spark, sf_dir)
+    rows = _decided(spark, sf_dir, "level", "source", "first_us", "score", *score.REASONED)
     return score.with_reasons(rows, PRESSED)
 
 
@@ -240,14 +240,15 @@ def would_escalate(spark, sf_dir):
 def plain_lines(spark, sf_dir):
     """The plain sink's lines in a dry run; of flags, what stands before the reasons."""
     scored = score.with_score(_lines(spark, sf_dir, SPEEDUP), PRESSED)
-    decided = gate.queued(score.with_reasons(gate.decide(scored, PRESSED), PRESSED), None)
+    decided = gate.queued(score.with_reasons(gate.decide(scored, PRESSED, columns=("score", *score.REASONED)), PRESSED), None)
     rows = views.plain_lines(decided, scored, dry_run=True)
     return rows.select("seq", "part", F.substring_index("text", " | reasons", 1).alias("text"))
 
 
 def explain_stub(spark, sf_dir):
     """Answers of the stub explainer to all escalations."""
-    flagged = _decided(spark, sf_dir).where("decision = 'escalated'").withColumn("context", F.array().cast("array<string>"))
+    rows = _decided(spark, sf_dir, "raw", "source", "stream", "level", "count", "first_us")
+    flagged = rows.where("decision = 'escalated'").withColumn("context", F.array().cast("array<string>"))
     return explain.explain(flagged, explain.Stub).select("seq", "state", "summary", "likely_cause", "suggestion", "truncated", "error")
 
 

@@ -190,6 +190,19 @@ def test_window_counts_without_times(spark):
         assert got == {k: timed[k] if k % 3 else k // 3 + 1 for k in range(90)}
 
 
+def test_gate_keeps_named_columns(spark):
+    """What a query doesn't read went through the windows' exchange and the gate's, as Python hid it from the planner."""
+    config = ScoreConfig(threshold=0.6, warmup=0, warmup_lines=0, rate_per_min=2)
+    rows = [(k * 20_000_000, "stderr", "WARN" if k % 2 else "ERROR", f"p{k % 5}") for k in range(40)]
+    scored = score.with_score(scored_lines(spark, rows), config)
+    kept = gate.decide(scored, config, columns=["score"])
+    assert kept.columns == ["seq", "us", "pattern", "score", "decision"]
+    whole = gate.decide(scored, config)
+    assert kept.orderBy("seq").collect() == whole.select(*kept.columns).orderBy("seq").collect()
+    windows = [n for n in _nodes(kept._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    assert windows and not any("raw:" in n.schema().simpleString() or "source:" in n.schema().simpleString() for n in windows)
+
+
 def test_signals_and_reasons(spark):
     config = ScoreConfig(warmup=0, warmup_lines=0, cache_ttl=0, rate_per_min=1000)
     cases = [("a", "stdout", "", 0.45), ("b", "stderr", "", 0.75), ("c", "stdout", "WARN", 0.65), ("d", "stdout", "ERROR", 1.05), ("e", "stderr", "FATAL", 1.45)]
