@@ -8,15 +8,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from emberlog.functions.masking import fnv
 
 
-def with_position(lines: DataFrame) -> DataFrame:
+#: Bits of bitmap_construct_agg().
+_BITS = 32_768
+
+
+def _seconds_before(starts: DataFrame, flagged: DataFrame, n: int) -> DataFrame:
+    """One row, `_bits`: which seconds, modulo _BITS, hold flagged rows or one of the n places before them."""
+    hit = flagged.select(F.floor(F.col("us") / 1_000_000).alias("_s")).distinct().withColumn("_hit", F.lit(True))
+    after = Window.orderBy("_s").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # one row for each second
+    lowest = F.min(F.when(F.col("_hit"), F.col("_before") + 1 - n)).over(after)
+    near = starts.join(hit, "_s", "left").withColumn("_low", lowest).where("_before + _n >= _low")
+    return near.agg(F.bitmap_construct_agg(F.pmod("_s", F.lit(_BITS))).alias("_bits"))
+
+
+def with_position(lines: DataFrame, flagged: DataFrame | None = None, n: int = 30) -> DataFrame:
     """Add `pos`, the dense place in (time, seq) order, without one task for all rows.
 
     Lines are counted per second, the counts summed up over the seconds, and lines ranked
-    inside their second.
+    inside their second. With flagged rows (us), only whole seconds stay, at least those with the
+    flagged rows and the n places before each: other lines are counted, but not moved.
     """
     df = lines.withColumn("_us", F.unix_micros("time")).withColumn("_s", F.floor(F.col("_us") / 1_000_000))
     upto = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # one row for each second
     starts = df.groupBy("_s").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    if flagged is not None:
+        bit = F.pmod("_s", F.lit(_BITS))
+        octet = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        wanted = F.getbit(octet, (bit % 8).cast("int")) == 1
+        df = df.join(F.broadcast(_seconds_before(starts, flagged, n)), wanted, "left_semi")
     inside = Window.partitionBy("_s").orderBy("_us", "seq")
     return (
         df.withColumn("_r", F.row_number().over(inside)).join(starts.select("_s", "_before"), "_s")

@@ -166,7 +166,7 @@ def cards(spark, sf_dir):
 def _context(spark, sf_dir, n, prefix):
     rows = _lines(spark, sf_dir, SPEEDUP)
     decided = gate.decide(score.with_score(rows, PRESSED), PRESSED, columns=()).where("decision = 'escalated'")
-    placed = views.with_position(rows)
+    placed = views.with_position(rows, decided, n)
     flagged = decided.select("seq").join(placed.select("seq", "pos"), "seq")
     return views.with_context(flagged, placed, n, prefix).select("seq", F.array_join("context", "\n").alias("context"))
 

@@ -203,6 +203,24 @@ def test_gate_keeps_named_columns(spark):
     assert windows and not any("raw:" in n.schema().simpleString() or "source:" in n.schema().simpleString() for n in windows)
 
 
+def test_places_near_flagged_rows(spark):
+    """Of lines that no context shows, none is moved; seconds of many places, of few, and none between."""
+    rng, us, rows = random.Random(3), -40_000_000, []
+    for _ in range(4000):
+        us += rng.choice([0, 100, 5000]) if rng.random() < 0.95 else rng.choice([900_000, 60_000_000])
+        rows.append((us, "stdout", "", f"t{len(rows)}"))
+    lines = scored_lines(spark, rows)
+    everything = views.with_position(lines)
+    for numbers, n in (([0, 1, 700, 2500, 3999], 30), ([1500], 3), (range(0, 4000, 7), 300), ([], 30)):
+        flagged = lines.where(F.col("seq").isin(list(numbers))).select("seq", F.unix_micros("time").alias("us"))
+        placed = views.with_position(lines, flagged, n)
+        got, want = (
+            sorted(map(tuple, views.with_context(flagged.join(p.select("seq", "pos"), "seq"), p, n).collect())) for p in (placed, everything)
+        )
+        assert got == want and len(got) == len(numbers)
+        assert len(numbers) > 5 or placed.count() < 1500
+
+
 def test_signals_and_reasons(spark):
     config = ScoreConfig(warmup=0, warmup_lines=0, cache_ttl=0, rate_per_min=1000)
     cases = [("a", "stdout", "", 0.45), ("b", "stderr", "", 0.75), ("c", "stdout", "WARN", 0.65), ("d", "stdout", "ERROR", 1.05), ("e", "stderr", "FATAL", 1.45)]
